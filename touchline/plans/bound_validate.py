@@ -123,7 +123,8 @@ with s as (
   ), '') as error_reason
   from s
 )
-select fixture_id, team_id, load_seq, goalkeeper_saves, shots_on_goal,
+select fixture_id, team_id, load_seq, shots_on_goal, shots_off_goal, shots_inside_box, shots_outside_box,
+  total_shots, possession, goalkeeper_saves, total_passes, passes_accurate, pass_accuracy,
   error_reason is null as is_valid, error_reason
 from r
 """
@@ -134,7 +135,10 @@ def _stats(b):
     return V.check_match_statistics(stg, latest_order=[c("load_seq")])
 
 
-@bound_query("check_match_statistics", STATS_FLAGGED_SQL)
+@bound_query("check_match_statistics", f"""
+select fixture_id, team_id, load_seq, goalkeeper_saves, shots_on_goal, is_valid, error_reason
+from ({STATS_FLAGGED_SQL}) x
+""")
 def q_check_match_statistics(b):
     return _stats(b).flagged.select("fixture_id", "team_id", "load_seq", "goalkeeper_saves", "shots_on_goal",
                                     "is_valid", "error_reason")
@@ -284,7 +288,8 @@ with e as (
 ), e3 as (
   select *, case when r8 then concat_ws(' ', reason17, 'Duplicate team row in group;') else reason17 end as reason8 from e2
 )
-select league_id, season_year, team_id, group_label, stg_seq,
+select league_id, season_year, team_id, group_label, stg_seq, rank, points, played, win, draw, lose,
+  goals_for, goals_against, goals_diff,
   valid17 and not r8 and not r9 as is_valid,
   case when r9 then concat_ws(' ', reason8, 'Missing team FK;') else reason8 end as error_reason
 from e3
@@ -295,7 +300,9 @@ def _standings(b):
     return V.check_standings(b.v_stg_standings, b.v_teams, order=[c("stg_seq")])
 
 
-@bound_query("check_standings", STANDINGS_FLAGGED_SQL)
+@bound_query("check_standings", f"""
+select league_id, season_year, team_id, group_label, stg_seq, is_valid, error_reason from ({STANDINGS_FLAGGED_SQL}) x
+""")
 def q_check_standings(b):
     return _standings(b).flagged.select("league_id", "season_year", "team_id", "group_label", "stg_seq",
                                         "is_valid", "error_reason")
