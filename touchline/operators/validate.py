@@ -507,22 +507,27 @@ def check_venues(stg: DataFrame) -> Validation:
 
 def check_news(stg: DataFrame, tabs: Sequence[str] | None = None) -> Validation:
     """V09 (defined from the contract): keeps flags set while flattening,
-    then mandatory fields, tab whitelist, duplicate url (all copies)."""
+    then mandatory fields, tab whitelist, url shared by different articles."""
     from touchline.functions.scalars import NEWS_TABS
     tabs = list(tabs or NEWS_TABS)
     start_valid = c("is_valid") if "is_valid" in stg.columns else F.lit(True)
     start_reason = c("error_reason") if "error_reason" in stg.columns else F.lit(None).cast("string")
-    base = stg.drop(*[x for x in ("is_valid", "error_reason") if x in stg.columns]) \
-              .withColumn("__sv", start_valid).withColumn("__sr", start_reason)
+    base = stg.withColumn("__sv", start_valid).withColumn("__sr", start_reason) \
+              .drop(*[x for x in ("is_valid", "error_reason") if x in stg.columns])
     rules = [
         RowRule("mandatory", "missing mandatory field; ",
                 c("article_id").isNull() | c("title").isNull() | c("url").isNull()
                 | c("published_at_utc").isNull()),
         RowRule("tab", "unknown tab; ", ~c("tab").isin(tabs)),
-        Duplicate("duplicate_url", "duplicate url; ", [c("url")], keep=None),
+        # The same article may sit in several tabs; a url shared by
+        # *different* articles breaks the unique url of the news table.
+        RowRule("duplicate_url", "duplicate url; ", c("__url_ids") > 1),
     ]
+    url_ids = (stg.where(c("url").isNotNull()).groupBy("url")
+               .agg(F.count_distinct("article_id").alias("__url_ids")))
+    base = base.join(url_ids, "url", "left")
     v = validate(base, rules, FIRST_FAILURE, start_valid=c("__sv"), start_reason=c("__sr"))
-    v.flagged = v.flagged.drop("__sv", "__sr")
+    v.flagged = v.flagged.drop("__sv", "__sr", "__url_ids")
     v.rejects = rejects(v.flagged, "stg_news", c("article_id"))
     return v
 

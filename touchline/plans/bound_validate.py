@@ -422,9 +422,10 @@ def q_check_venues(b):
 with r as (select *, case
     when article_id is null or title is null or url is null or published_at_utc is null then 'missing mandatory field; '
     when tab not in ('transfers', 'injuries', 'matchreports') then 'unknown tab; ' end as r1 from v_news),
-r2 as (select *, sum(case when r1 is null then 1 else 0 end) over (partition by url) as n from r)
-select article_id, tab, coalesce(r1, case when url is not null and n > 1 then 'duplicate url; ' end) is null as is_valid,
-  coalesce(r1, case when url is not null and n > 1 then 'duplicate url; ' end) as error_reason from r2
+d as (select url from v_news where url is not null group by url having count(distinct article_id) > 1)
+select article_id, tab,
+  coalesce(r1, case when url in (select url from d) then 'duplicate url; ' end) is null as is_valid,
+  coalesce(r1, case when url in (select url from d) then 'duplicate url; ' end) as error_reason from r
 """)
 def q_check_news(b):
     return V.check_news(b.v_news).flagged.select("article_id", "tab", "is_valid", "error_reason")

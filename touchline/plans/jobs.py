@@ -156,13 +156,9 @@ def run_news(spark: SparkSession, root: str, news: DataFrame, as_of,
     files = SN.list_files(spark, f"{root.rstrip('/')}/news")
     batches = SN.latest_batch(files)
     resp = SN.read_snapshots(spark, batches.select(c("response_path").alias("file_path")), SC.NEWS)
-    from pyspark.errors import AnalysisException
-    try:  # one glob for every batch's _meta.json; absent metas fall back to run_ts
-        meta = (spark.read.option("wholetext", "true").text(f"{root.rstrip('/')}/news/*/*/run_ts=*/_meta.json")
-                .select(c("_metadata.file_path").alias("meta_path"),
-                        F.from_json(c("value"), SC.NEWS_META)["fetched_at_utc"].alias("meta_fetched")))
-    except AnalysisException:
-        meta = spark.createDataFrame([], "meta_path string, meta_fetched string")
+    # _meta.json sidecars are skipped by Spark's file sources: read them in tasks.
+    meta = SN.read_small_files(batches.select(c("meta_path")), "meta_path").select(
+        "meta_path", F.from_json(c("text"), SC.NEWS_META)["fetched_at_utc"].alias("meta_fetched"))
     b = batches.join(meta, "meta_path", "left").withColumn(
         "fetched_at_utc", F.coalesce(F.try_to_timestamp(c("meta_fetched")).cast("timestamp_ntz"),
                                      run_ts_to_timestamp(c("run_ts")).cast("timestamp_ntz")))

@@ -170,6 +170,29 @@ def latest_batch(files: DataFrame) -> DataFrame:
                          F.regexp_replace(c("file_path"), "response\\.json$", "_meta.json").alias("meta_path"))
 
 
+def read_small_files(paths: DataFrame, path_col: str = "file_path") -> DataFrame:
+    """(path, text) for each path, read inside the tasks with pyarrow's file
+    systems. Used for sidecar files Spark's file sources skip (names starting
+    with ``_``, e.g. ``_meta.json``); a missing file gives ``text = NULL``.
+    Only for small files: each one is read whole into one row."""
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        for pdf in batches:
+            texts = []
+            for p in pdf[path_col]:
+                # Spark writes local paths as 'file:/x'; pyarrow wants 'file:///x'.
+                uri = "file:///" + p[len("file:"):].lstrip("/") if p.startswith("file:") else p
+                try:
+                    filesystem, inner = pafs.FileSystem.from_uri(uri)
+                    with filesystem.open_input_stream(inner) as fh:
+                        texts.append(fh.read().decode("utf-8"))
+                except (FileNotFoundError, OSError):
+                    texts.append(None)
+            yield pd.DataFrame({path_col: pdf[path_col], "text": texts})
+    return paths.select(path_col).distinct().mapInPandas(read, f"{path_col} string, text string")
+
+
 # S07 -------------------------------------------------------------------------------
 def roster_player_ids(spark: SparkSession, files: DataFrame, by: Sequence[str] = ("league", "season")) -> DataFrame:
     """Newest ``run_YYYY-MM-DD`` roster per group, ``{team: [ids]}`` flattened
