@@ -3,9 +3,10 @@
 The source application answers one league / team / fixture per request.
 Here each query answers for *all* of them at once; the per-request form is a
 filter on the result (``.where(team_id == x)``), which Catalyst pushes down
-to the scans. Dimensions (leagues, teams, venues) join as broadcast when
-Spark's size estimate allows it; facts (fixtures, events, statistics) are
-never forced to broadcast.
+to the scans. Dimensions (leagues, teams, venues) are broadcast after a
+row-count check (``functions.joins.bounded_broadcast``); facts (fixtures,
+events, statistics) are never broadcast on an estimate — AQE may still
+broadcast a side at runtime once its real size is known to be small.
 
 Ordering inside a group (a league table, a team's fixture list) is given as
 an explicit rank column computed with a window partitioned by the group, so
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
+from touchline.functions.joins import bounded_broadcast as dim
+from touchline.functions.joins import is_small
 from touchline.functions.windows import latest_by, long_form, top_n_per_group
 
 c = F.col
@@ -30,8 +33,15 @@ def clean_str(x) -> Column:
     return S.blank_to_null(S.html_unescape_fast(x if isinstance(x, Column) else c(x)))
 
 
-def _teams(teams: DataFrame, role: str) -> DataFrame:
-    return teams.select(c("team_id").alias(f"{role}_id"), c("team_name").alias(f"{role}_name"))
+def _teams(teams: DataFrame, role: str, small: bool | None = None) -> DataFrame:
+    return dim(teams.select(c("team_id").alias(f"{role}_id"), c("team_name").alias(f"{role}_name")), small=small)
+
+
+def _team_sides(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
+    """Fixtures with home and away team names (one size check for both roles)."""
+    small = is_small(teams.select("team_id", "team_name"))
+    return (fixtures.join(_teams(teams, "home", small), c("home_team_id") == c("home_id"))
+            .join(_teams(teams, "away", small), c("away_team_id") == c("away_id")))
 
 
 # Q01 -----------------------------------------------------------------------------
@@ -50,9 +60,7 @@ def matches_on_local_day(fixtures: DataFrame, leagues: DataFrame, teams: DataFra
     start, end = S.local_day_bounds(local_date, tz)
     start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
     f = fixtures.where((c("fixture_date") >= start) & (c("fixture_date") < end))
-    return (f.join(leagues.select("league_id", "league_name"), "league_id")
-            .join(_teams(teams, "home"), c("home_team_id") == c("home_id"))
-            .join(_teams(teams, "away"), c("away_team_id") == c("away_id"))
+    return (_team_sides(f.join(dim(leagues.select("league_id", "league_name")), "league_id"), teams)
             .select(c("fixture_id").alias("id"), "league_name", "home_name", "away_name",
                     c("fixture_date").alias("kickoff_utc"), "status")
             .orderBy("league_name", "kickoff_utc", "id"))
@@ -120,7 +128,7 @@ def league_standings(standings: DataFrame, teams: DataFrame) -> DataFrame:
     ``display_rank`` orders blank group last, then rank, then name."""
     one = latest_by(standings, ["league_id", "season_year", "team_id"],
                     [c("upd_date").desc_nulls_last(), c("rank").asc_nulls_last(), c("group_label")])
-    j = one.join(teams.select("team_id", "team_name"), "team_id")
+    j = one.join(dim(teams.select("team_id", "team_name")), "team_id")
     w = Window.partitionBy("league_id", "season_year").orderBy(
         F.nullif(c("group_label"), F.lit("")).asc_nulls_last(), c("rank").asc_nulls_last(),
         c("team_name"), c("team_id"))
@@ -141,20 +149,17 @@ def weekly_matches(fixtures: DataFrame, teams: DataFrame, start: str, days: int
     s = F.lit(start).cast("date").cast("timestamp_ntz")
     e = F.date_add(F.lit(start).cast("date"), days).cast("timestamp_ntz")
     f = fixtures.where((c("fixture_date") >= s) & (c("fixture_date") < e))
-    return (f.join(_teams(teams, "home"), c("home_team_id") == c("home_id"))
-            .join(_teams(teams, "away"), c("away_team_id") == c("away_id"))
+    return (_team_sides(f, teams)
             .select("league_id", c("fixture_id").alias("id"), c("fixture_date").alias("kickoff_utc"), "status",
                     "round", "home_id", "home_name", "away_id", "away_name", "home_score", "away_score"))
 
 
 # Q10 -----------------------------------------------------------------------------
 def match_header(fixtures: DataFrame, leagues: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:
-    v = venues.select("venue_id", c("venue_name").alias("v_name"), c("city").alias("v_city"),
-                      c("country").alias("v_country"))
-    j = (fixtures.join(leagues.select("league_id", "league_name"), "league_id")
-         .join(_teams(teams, "home"), c("home_team_id") == c("home_id"))
-         .join(_teams(teams, "away"), c("away_team_id") == c("away_id"))
-         .join(v, "venue_id", "left"))
+    v = dim(venues.select("venue_id", c("venue_name").alias("v_name"), c("city").alias("v_city"),
+                          c("country").alias("v_country")))
+    j = _team_sides(fixtures.join(dim(leagues.select("league_id", "league_name")), "league_id"), teams) \
+        .join(v, "venue_id", "left")
     fin = S.is_finished(c("status"))
     return j.select(
         c("fixture_id").alias("match_id"), c("season_year").alias("season"),
@@ -249,8 +254,8 @@ def team_summary(teams: DataFrame, bridge: DataFrame, standings: DataFrame, fixt
               .select(*keys, c("p.league_id").alias("league_id")))
     best = latest_by(standings, ["team_id", "season_year", "league_id"],
                      [(c("group_label") == "").desc_nulls_last(), c("rank").asc_nulls_last(), c("group_label")])
-    j = (chosen.join(teams.select("team_id", "team_name"), "team_id")
-         .join(leagues.select("league_id", "league_name", "league_country"), "league_id", "left")
+    j = (chosen.join(dim(teams.select("team_id", "team_name")), "team_id")
+         .join(dim(leagues.select("league_id", "league_name", "league_country")), "league_id", "left")
          .join(best.select(*keys, "league_id", "rank", "points", "win", "draw", "lose", "goals_diff"),
                [*keys, "league_id"], "left"))
     has_record = c("win").isNotNull() & c("draw").isNotNull() & c("lose").isNotNull() & c("goals_diff").isNotNull()
@@ -272,8 +277,7 @@ def team_fixtures(fixtures: DataFrame, teams: DataFrame, leagues: DataFrame, ven
         f = f.where(c("status").isin(S.UPCOMING))
     elif status == "played":
         f = f.where(c("status").isin(S.FINISHED))
-    j = (f.join(_teams(teams, "home"), c("home_team_id") == c("home_id"))
-         .join(_teams(teams, "away"), c("away_team_id") == c("away_id")))
+    j = _team_sides(f, teams)
     if q:
         like = f"%{q.strip()}%"
         j = j.where(c("home_name").ilike(like) | c("away_name").ilike(like) | c("round").ilike(like))
@@ -283,8 +287,8 @@ def team_fixtures(fixtures: DataFrame, teams: DataFrame, leagues: DataFrame, ven
              c("fixture_id")]
     page = top_n_per_group(per_team, ["team_id", "season_year"], order, offset + limit, rank_col="page_rank")
     page = page.where(c("page_rank") > offset).withColumn("page_rank", c("page_rank") - offset)
-    v = venues.select("venue_id", "venue_name")
-    out = (page.join(leagues.select("league_id", "league_name"), "league_id")
+    v = dim(venues.select("venue_id", "venue_name"))
+    out = (page.join(dim(leagues.select("league_id", "league_name")), "league_id")
            .join(v, "venue_id", "left"))
     fin = S.is_finished(c("status"))
     return out.select(

@@ -34,6 +34,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.joins import bounded_broadcast
+
 FIRST_FAILURE = "first_failure"
 ACCUMULATE = "accumulate"
 
@@ -52,6 +54,9 @@ class ForeignKey:
     column: str | Column
     ref: DataFrame
     ref_column: str
+    # A dimension reference (teams, venues) is broadcast after a row-count
+    # check; a fact reference (fixtures) is left to AQE's runtime choice.
+    dimension: bool = True
 
 
 @dataclass
@@ -109,6 +114,8 @@ def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
             ref_keys = (rule.ref.select(F.col(rule.ref_column).alias(f"__fk_{i}"))
                         .where(F.col(f"__fk_{i}").isNotNull()).distinct()
                         .withColumn(f"__fk_ok_{i}", F.lit(True)))
+            if rule.dimension:
+                ref_keys = bounded_broadcast(ref_keys)
             local = F.col(rule.column) if isinstance(rule.column, str) else rule.column
             out = (out.withColumn(f"__fk_l_{i}", local)
                    .join(ref_keys, F.col(f"__fk_l_{i}") == F.col(f"__fk_{i}"), "left")
@@ -265,8 +272,8 @@ def _validate_events(stg: DataFrame, rules) -> Validation:
     fk = rules[0]
     fx = (fk.fixtures.select(c("fixture_id").alias("__fx")).where(c("__fx").isNotNull()).distinct()
           .withColumn("__fx_ok", F.lit(True)))
-    tm = (fk.teams.select(c("team_id").alias("__tm")).where(c("__tm").isNotNull()).distinct()
-          .withColumn("__tm_ok", F.lit(True)))
+    tm = bounded_broadcast(fk.teams.select(c("team_id").alias("__tm")).where(c("__tm").isNotNull()).distinct()
+                           .withColumn("__tm_ok", F.lit(True)))
     pre = (stg.join(fx, stg["fixture_id"] == fx["__fx"], "left")
            .join(tm, c("team_id") == c("__tm"), "left")
            .withColumn("__fk_missing", c("__fx_ok").isNull() | c("__tm_ok").isNull())

@@ -33,21 +33,50 @@ def _scope_cols(files: DataFrame, league_map: DataFrame | None) -> DataFrame:
     return f
 
 
+def work_dir(spark: SparkSession, job: str) -> str:
+    """A fresh folder for this run's intermediate tables, below the cluster's
+    shared ``spark.checkpoint.dir`` (set to a scratch folder only when unset,
+    as in local tests)."""
+    import uuid
+    from touchline.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/touchline-{job}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, path: str | None) -> DataFrame:
+    """Write the staging rows as a table and continue from the written
+    table. JSON parsing then runs once, the validation branches (FK, duplicate
+    groups) re-scan only pruned Parquet columns, and the lineage is cut — a
+    lost executor recomputes from the staging table, not from the snapshots."""
+    if path is None:
+        return df
+    from touchline.sources.sinks import write_staging
+    write_staging(df, path, mode="overwrite")
+    return df.sparkSession.read.parquet(path)
+
+
 def _docs(spark, files: DataFrame, schema, on_bad="skip") -> DataFrame:
     docs = SN.read_snapshots(spark, files, schema, on_bad=on_bad)
     extra = [x for x in files.columns if x not in ("file_path", "modified", "size")]
     return docs.join(files.select("file_path", *extra), "file_path")
 
 
+def _path(spark: SparkSession, staging_path: str | None, table: str) -> str | None:
+    if staging_path == "auto":
+        return f"{work_dir(spark, table)}/{table}"
+    return None if staging_path is None else f"{staging_path.rstrip('/')}/{table}"
+
+
 # J01 -----------------------------------------------------------------------------
 def run_fixtures(spark: SparkSession, root: str, fixtures: DataFrame, teams: DataFrame, venues: DataFrame,
-                 as_of, mode: str = "baseline", league_map: DataFrame | None = None) -> dict:
+                 as_of, mode: str = "baseline", league_map: DataFrame | None = None,
+                 staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/fixtures"), league_map)
     chosen, missing_base = SN.baseline_plus_inc(files, ["league_id", "season_year"], mode)
     stg = FL.flatten_fixtures(_docs(spark, chosen, SC.FIXTURES))
     # Later increments override earlier rows of the same fixture (file order).
     from touchline.functions.windows import latest_by
     stg = latest_by(stg, ["fixture_id"], [c("stg_order").desc()])
+    stg = stage(stg, _path(spark, staging_path, "stg_fixtures"))
     v = V.check_fixtures(stg, teams)
     res, new_venues = M.merge_fixtures(fixtures, v.flagged, venues, as_of)
     outcomes = chosen.select("league_id", "season_year", F.lit(True).alias("ok"),
@@ -60,11 +89,12 @@ def run_fixtures(spark: SparkSession, root: str, fixtures: DataFrame, teams: Dat
 
 # J02 -----------------------------------------------------------------------------
 def run_standings(spark: SparkSession, root: str, standings: DataFrame, fixtures: DataFrame, teams: DataFrame,
-                  scope: DataFrame, as_of, n: int = 5, league_map: DataFrame | None = None) -> dict:
+                  scope: DataFrame, as_of, n: int = 5, league_map: DataFrame | None = None,
+                  staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/standings"), league_map)
     files = files.join(scope.select("league_id", "season_year"), ["league_id", "season_year"], "left_semi")
     chosen = SN.latest_file(files, ["league_id", "season_year"])
-    stg = FL.flatten_standings(_docs(spark, chosen, SC.STANDINGS))
+    stg = stage(FL.flatten_standings(_docs(spark, chosen, SC.STANDINGS)), _path(spark, staging_path, "stg_standings"))
     v = V.check_standings(stg, teams, order=[c("stg_order")])
     res, counts = M.merge_standings(standings, v.flagged, fixtures, as_of, n)
     return {"staging": v.flagged, "rejects": v.rejects, "standings": res.merged, "counts": counts}
@@ -72,12 +102,13 @@ def run_standings(spark: SparkSession, root: str, standings: DataFrame, fixtures
 
 # J03 -----------------------------------------------------------------------------
 def run_match_events(spark: SparkSession, root: str, events: DataFrame, fixtures: DataFrame, teams: DataFrame,
-                     players: DataFrame, scope: DataFrame, as_of, league_map: DataFrame | None = None) -> dict:
+                     players: DataFrame, scope: DataFrame, as_of, league_map: DataFrame | None = None,
+                     staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/match_events"), league_map)
     files = files.join(scope.select("league_id", "season_year"), ["league_id", "season_year"], "left_semi")
     files = files.withColumn("mode", F.regexp_extract(c("file_path"), r"/([a-z]+)/[a-z]+_\d{8}_\d{6}Z/", 1))
     chosen = SN.latest_run(files, ["league_id", "season_year", "mode"], SN.RUN_STAMP_EVENTS, "yyyyMMdd_HHmmss", 2)
-    stg = FL.flatten_events(_docs(spark, chosen, SC.EVENTS))
+    stg = stage(FL.flatten_events(_docs(spark, chosen, SC.EVENTS)), _path(spark, staging_path, "stg_match_events"))
     v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")])
     res, new_players = M.merge_match_events(events, v.flagged, players, as_of, order=[c("stg_order")])
     return {"staging": v.flagged, "rule_counts": v.rule_counts, "events": res.merged,
@@ -86,11 +117,12 @@ def run_match_events(spark: SparkSession, root: str, events: DataFrame, fixtures
 
 # J04 -----------------------------------------------------------------------------
 def run_match_statistics(spark: SparkSession, root: str, stats: DataFrame, fixtures: DataFrame, scope: DataFrame,
-                         as_of, league_map: DataFrame | None = None) -> dict:
+                         as_of, league_map: DataFrame | None = None, staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/match_statistics"), league_map)
     files = files.join(scope.select("league_id", "season_year"), ["league_id", "season_year"], "left_semi")
     chosen = SN.latest_run(files, ["league_id", "season_year"], SN.RUN_STAMP_STATS, "yyyy-MM-dd_HHmmss")
-    stg = FL.pivot_statistics(_docs(spark, chosen, SC.STATISTICS, on_bad="error_row"))
+    stg = stage(FL.pivot_statistics(_docs(spark, chosen, SC.STATISTICS, on_bad="error_row")),
+                _path(spark, staging_path, "stg_match_statistics"))
     base = stg.withColumnRenamed("is_valid", "__pv").withColumnRenamed("error_reason", "__pr")
     v = V.check_match_statistics(base, latest_order=[c("stg_order")])
     flagged = (v.flagged.withColumn("is_valid", c("is_valid") & c("__pv"))

@@ -11,23 +11,24 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every touchline job relies on for correct results.
+# Settings every touchline job relies on for correct results and bounded memory.
 _REQUIRED = {
     # Timestamps are UTC end to end (fixtures, news, as_of).
     "spark.sql.session.timeZone": "UTC",
     # the last duplicate statistic type wins in map_from_entries.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # No broadcast from optimizer *estimates* (not a bound); dimensions are
+    # broadcast explicitly after a row-count check (functions.joins) and AQE
+    # broadcasts a side only once its materialized size is known.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 # Performance defaults, applied only when the caller has not set them.
 _DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Dimension tables (leagues, teams, venues, seasons, catalog) are tiny;
-    # fact tables (events, statistics, fixtures, players) must never be
-    # broadcast. 32 MB leaves the former automatic and rules out the latter.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
