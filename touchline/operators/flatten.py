@@ -136,6 +136,21 @@ def pivot_statistics(docs: DataFrame) -> DataFrame:
     return good.unionByName(invalid)
 
 
+def pivot_stat_entries(entries: DataFrame, keys, type_col: str = "type", value_col: str = "value",
+                       order_col: str = "pos") -> DataFrame:
+    """F04 on a long entity-attribute-value table: one row per ``keys`` with a
+    typed column per statistic; the last entry of a type (largest
+    ``order_col``) wins. Conditional ``max_by`` per column: partial
+    aggregation before the shuffle, so a hot key never gathers its rows in
+    one place."""
+    mapping = F.create_map(*[x for k, v in STAT_TYPES.items() for x in (F.lit(k), F.lit(v))])
+    e = entries.withColumn("__col", F.element_at(mapping, c(type_col))).where(c("__col").isNotNull())
+    cols = list(dict.fromkeys(STAT_TYPES.values()))
+    aggs = [_stat_value(x, F.max_by(F.when(c("__col") == x, c(value_col).cast("string")),
+                                    F.when(c("__col") == x, c(order_col)))).alias(x) for x in cols]
+    return e.groupBy(*keys).agg(*aggs)
+
+
 # F05 -----------------------------------------------------------------------------
 def flatten_players(docs: DataFrame) -> DataFrame:
     """response[0].player identity; null / 0 id rejected."""
