@@ -16,6 +16,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.functions.joins import bounded_broadcast
+
+# Base tables the views join to the large ones (orders, lineitem).
+CHECKED_BROADCAST = ("region", "nation", "customer", "supplier")
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "documents", "embeddings", "pages",
                "benchmark", "labels", "conversations")
@@ -243,7 +248,12 @@ class Bound:
                     self._ensure(base)
             self.spark.sql(VIEWS[name]).createOrReplaceTempView(name)
         elif name in BASE_TABLES:
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in CHECKED_BROADCAST:
+                # Joined to the large tables in the views; broadcast only while
+                # a row-count check says it is small, else shuffle.
+                df = bounded_broadcast(df)
+            df.createOrReplaceTempView(name)
         else:
             raise KeyError(name)
         self._loaded.add(name)
