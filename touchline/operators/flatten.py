@@ -270,13 +270,23 @@ def flatten_news(docs: DataFrame) -> DataFrame:
 # F14 -----------------------------------------------------------------------------
 def players_from_pages_and_squads(pages: DataFrame, squads: DataFrame) -> DataFrame:
     """Players seen on league pages, plus a minimal record for every squad
-    member not seen there (set difference by anti join)."""
+    member not seen there (set difference by anti join). Inputs are parsed
+    page / squad documents."""
     seen = pages.select(F.explode("doc.response").alias("r")).select(
-        c("r.player.id").alias("player_id"), c("r.player.name").alias("name"),
-        c("r.player.photo").alias("photo"), F.lit("page").alias("source")).where(c("player_id").isNotNull())
-    seen = seen.dropDuplicates(["player_id"])
+        c("r.player.id").alias("player_id"), c("r.player.name").alias("name"), c("r.player.photo").alias("photo"))
     sq = (squads.select(F.explode("doc.response").alias("r")).select(F.explode("r.players").alias("p"))
-          .select(c("p.id").alias("player_id"), c("p.name").alias("name"), c("p.photo").alias("photo"))
-          .where(c("player_id").isNotNull()).dropDuplicates(["player_id"]))
-    extra = sq.join(seen.select("player_id"), "player_id", "left_anti").withColumn("source", F.lit("squad"))
-    return seen.unionByName(extra)
+          .select(c("p.id").alias("player_id"), c("p.name").alias("name"), c("p.photo").alias("photo")))
+    return supplement_players(seen, sq)
+
+
+def supplement_players(seen: DataFrame, squad: DataFrame) -> DataFrame:
+    """F14 on flat (player_id, name, photo) rows: one row per player seen on
+    pages (first name wins), plus squad members not seen, tagged by source."""
+    def one_per_id(df):
+        from touchline.functions.windows import latest_by
+        return latest_by(df.where(c("player_id").isNotNull()), ["player_id"],
+                         [c("name").asc_nulls_last(), c("photo").asc_nulls_last()])
+    s = one_per_id(seen).withColumn("source", F.lit("page"))
+    extra = (one_per_id(squad).join(s.select("player_id"), "player_id", "left_anti")
+             .withColumn("source", F.lit("squad")))
+    return s.unionByName(extra)

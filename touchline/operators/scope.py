@@ -2,10 +2,10 @@
 touches.
 
 Control tables (leagues, seasons, catalog, ledger) are small by nature; the
-results of these operators are joined to the large side (fixtures, files),
-where Spark's size estimate makes them the broadcast side. Correlated
-"pick the season" subqueries of the source become one conditional aggregate
-per league.
+results of these operators are joined to the large side (fixtures, files) —
+with a semi join that AQE turns into a broadcast once the scope's real size
+is known. Correlated "pick the season" subqueries of the source become one
+conditional aggregate per league.
 """
 
 from __future__ import annotations
@@ -109,8 +109,9 @@ def ingest_outcomes(outcomes: DataFrame, as_of, keys: Sequence[str] = ("league_i
 
 
 def drop_finished_windows(catalog: DataFrame, finished: DataFrame) -> DataFrame:
-    """Remove windows that finished from each league's target array."""
-    done = finished.groupBy("league_id").agg(F.collect_set("window").alias("__done"))
+    """Remove windows that finished (``finished``: league_id, target_window)
+    from each league's target array."""
+    done = finished.groupBy("league_id").agg(F.collect_set("target_window").alias("__done"))
     return (catalog.join(done, "league_id", "left")
             .withColumn("target_windows", F.when(c("__done").isNull(), c("target_windows"))
                         .otherwise(F.array_except(c("target_windows"), c("__done"))))

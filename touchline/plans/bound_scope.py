@@ -198,3 +198,17 @@ where last is not null and last >= first_season
 """)
 def q_expand(b):
     return W.expand_seasons(b.v_catalog, b.sql(DIRECTORY))
+
+
+# W07 (window pruning) -------------------------------------------------------------
+FINISHED_WINDOWS = "select league_id, 'summer' as target_window from v_catalog where league_id % 2 = 0"
+
+
+@bound_query("drop_finished_windows", f"""
+with d as (select league_id, list(target_window) as done from ({FINISHED_WINDOWS}) x group by league_id)
+select c.league_id, case when d.done is null then c.target_windows
+  else list_filter(c.target_windows, lambda w: not list_contains(d.done, w)) end as target_windows
+from v_catalog c left join d on d.league_id = c.league_id
+""")
+def q_drop_finished_windows(b):
+    return W.drop_finished_windows(b.v_catalog, b.sql(FINISHED_WINDOWS)).select("league_id", "target_windows")

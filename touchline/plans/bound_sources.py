@@ -222,3 +222,29 @@ def q_pivot_eav(b):
     # (line, part, supplier, price) is the unique entry order within a fixture.
     eav = b.sql(EAV).withColumn("entry_order", F.struct("pos", "ord2", "ord3", "ord4"))
     return FL.pivot_stat_entries(eav, ["fixture_id", "team_id"], order_col="entry_order")
+
+
+# F14 -------------------------------------------------------------------------------
+# Players on league pages: customers of even nations; squads: customers with
+# orders (the squad of each order's home team), many not on pages.
+PAGE_PLAYERS = """
+select cast(c_custkey as int) as player_id, c_name as name, concat('p/', cast(c_custkey as string)) as photo
+from customer where c_nationkey % 2 = 0
+"""
+SQUAD_PLAYERS = """
+select cast(o_custkey as int) as player_id, concat('Squad ', cast(o_custkey as string)) as name,
+  cast(null as string) as photo from orders
+"""
+
+
+@bound_query("players_from_pages_and_squads", f"""
+with seen as (select * from (select *, row_number() over (partition by player_id order by name, photo) as rn
+                             from ({_duck(PAGE_PLAYERS)}) x where player_id is not null) y where rn = 1),
+sq as (select * from (select *, row_number() over (partition by player_id order by name, photo) as rn
+                      from ({_duck(SQUAD_PLAYERS)}) x where player_id is not null) y where rn = 1)
+select player_id, name, photo, 'page' as source from seen
+union all
+select player_id, name, photo, 'squad' from sq where player_id not in (select player_id from seen)
+""")
+def q_supplement_players(b):
+    return FL.supplement_players(b.sql(PAGE_PLAYERS), b.sql(SQUAD_PLAYERS))
