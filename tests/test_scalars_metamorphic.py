@@ -142,3 +142,18 @@ def test_form_strings_are_wdl_up_to_five(spark):
     b = Bound(spark, SF_SMALL)
     out = team_form(b.v_fixtures, 5)
     assert out.where(~c("form_compact").rlike("^[WDL]{1,5}$")).count() == 0
+
+
+def test_partition_scoped_merge_touches_only_source_partitions(spark, tmp_path):
+    target = spark.createDataFrame(
+        [(1, 2023, "a", None, None), (2, 2023, "b", None, None), (3, 2024, "c", None, None)],
+        "id int, season int, v string, load_date timestamp_ntz, upd_date timestamp_ntz")
+    source = spark.createDataFrame([(3, 2024, "c2"), (4, 2024, "d")], "id int, season int, v string")
+    full = M.merge_upsert(target, source, ["id", "season"], ["v"], "2024-02-01")
+    scoped = M.merge_upsert(target, source, ["id", "season"], ["v"], "2024-02-01", partition_cols=["season"])
+    assert sorted(scoped.merged.collect()) == sorted(full.merged.where(c("season") == 2024).collect())
+    path = str(tmp_path / "t")
+    target.write.partitionBy("season").parquet(path)
+    M.write_touched_partitions(scoped.merged, path, ["season"])
+    after = {(r.id, r.v) for r in spark.read.parquet(path).collect()}
+    assert after == {(1, "a"), (2, "b"), (3, "c2"), (4, "d")}

@@ -61,7 +61,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
                  when: str | Callable = "distinct", compare_cols: Sequence[str] | None = None,
                  update_exprs: dict[str, Callable] | None = None,
                  insert_defaults: dict[str, Column] | None = None,
-                 audit: tuple[str, str] | None = ("load_date", "upd_date")) -> MergeResult:
+                 audit: tuple[str, str] | None = ("load_date", "upd_date"),
+                 partition_cols: Sequence[str] | None = None) -> MergeResult:
     """Upsert ``source`` into ``target`` on ``keys``.
 
     * ``when="distinct"`` — update only if any of ``compare_cols`` (default
@@ -71,8 +72,19 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     * ``update_exprs[name] = (t, s) -> Column`` overrides the updated value.
     * ``insert_defaults`` fills target columns the source does not have.
     * ``audit`` = (load_date, upd_date) column names stamped with ``as_of``.
+    * ``partition_cols`` (a subset of ``keys``, e.g. season_year): only target
+      partitions the source touches take part, and the result holds only
+      those partitions — write it with dynamic partition overwrite
+      (``write_touched_partitions``) so untouched partitions are never
+      rewritten. The touched-partition list is a distinct aggregate of the
+      source (few rows); the semi join becomes a broadcast once AQE sees it.
     """
     keys = list(keys)
+    if partition_cols:
+        if not set(partition_cols) <= set(keys):
+            raise ValueError("partition columns must be part of the merge key")
+        touched = source.select(*partition_cols).distinct()
+        target = target.join(touched, list(partition_cols), "left_semi")
     stamp = ts(as_of)
     audit_cols = [a for a in (audit or ()) if a]
     tcols = [x for x in target.columns if x not in keys]
@@ -121,6 +133,13 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return MergeResult(j.select(*out), keys)
 
 
+def write_touched_partitions(merged: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
+    """Overwrite only the partitions present in ``merged`` (a partition-scoped
+    merge result); every other partition of the table stays as it is."""
+    (merged.drop("action").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path))
+
+
 def with_audit(df: DataFrame, as_of, cols=("load_date", "upd_date")) -> DataFrame:
     for x in cols:
         df = df.withColumn(x, ts(as_of))
