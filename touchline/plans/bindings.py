@@ -232,11 +232,28 @@ class Bound:
     views are registered as temp views so SQL and DataFrame code can mix.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
         self._loaded: set[str] = set()
 
+    def _stored(self, name: str) -> DataFrame:
+        """The view as a stored Parquet table (the application's tables are
+        stored, not views over other tables): written once per run below the
+        session's checkpoint folder, then read. Cuts the lineage, so every
+        unit starts from the stored table instead of re-deriving it."""
+        import hashlib
+        from pyspark.errors import AnalysisException
+        from touchline.session import ensure_checkpoint_dir
+        key = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/touchline-bound/{key}/{name}"
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException:
+            self.spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+
     def _ensure(self, name: str) -> None:
         if name in self._loaded:
             return
@@ -246,7 +263,8 @@ class Bound:
             for base in BASE_TABLES:
                 if re.search(rf"\b{base}\b", VIEWS[name]):
                     self._ensure(base)
-            self.spark.sql(VIEWS[name]).createOrReplaceTempView(name)
+            df = self._stored(name) if self.materialize else self.spark.sql(VIEWS[name])
+            df.createOrReplaceTempView(name)
         elif name in BASE_TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             if name in CHECKED_BROADCAST:
