@@ -157,3 +157,16 @@ def test_partition_scoped_merge_touches_only_source_partitions(spark, tmp_path):
     M.write_touched_partitions(scoped.merged, path, ["season"])
     after = {(r.id, r.v) for r in spark.read.parquet(path).collect()}
     assert after == {(1, "a"), (2, "b"), (3, "c2"), (4, "d")}
+
+
+def test_staged_join_sides_give_the_same_flags(spark):
+    b = Bound(spark, SF_SMALL)
+    order = [c("ord1"), c("ord2"), c("ord3"), c("ord4")]
+    lazy = V.check_match_events(b.v_stg_events, b.v_fixtures, b.v_teams, order=order).flagged
+    staged = V.check_match_events(b.v_stg_events, b.v_fixtures, b.v_teams, order=order, stage_sides=True).flagged
+    key = ["ord1", "ord2", "ord3", "ord4", "is_valid", "error_reason"]
+    assert lazy.select(*key).exceptAll(staged.select(*key)).count() == 0
+    assert staged.select(*key).exceptAll(lazy.select(*key)).count() == 0
+    s1 = V.check_standings(b.v_stg_standings, b.v_teams, order=[c("stg_seq")]).flagged
+    s2 = V.check_standings(b.v_stg_standings, b.v_teams, order=[c("stg_seq")], stage_sides=True).flagged
+    assert s1.exceptAll(s2).count() == 0 and s2.exceptAll(s1).count() == 0

@@ -35,3 +35,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS, small:
     if small is None:
         small = is_small(df, max_rows)
     return F.broadcast(df) if small else df
+
+
+DERIVED_MAX_ROWS = 500_000
+
+
+def stored_side(df: DataFrame, max_rows: int = DERIVED_MAX_ROWS) -> DataFrame:
+    """A derived join side (duplicate groups, distinct reference keys) written
+    once as a table below the shared ``spark.checkpoint.dir`` and read back;
+    broadcast if the stored table has at most ``max_rows`` rows, else left to
+    a shuffle join.
+
+    The side is computed once (not again for a size check and again for the
+    join), its size is checked on the real data, and when it is small the large
+    side of the join is never shuffled. The stored table also cuts lineage:
+    a lost executor re-reads it instead of recomputing the aggregate.
+    """
+    import uuid
+    from touchline.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/touchline-sides/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    stored = spark.read.parquet(path)
+    return bounded_broadcast(stored, max_rows)

@@ -34,7 +34,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.joins import bounded_broadcast
+from touchline.functions.joins import bounded_broadcast, stored_side
 
 FIRST_FAILURE = "first_failure"
 ACCUMULATE = "accumulate"
@@ -91,12 +91,18 @@ def _append(reason_col: Column, text: Column, sep: str | None) -> Column:
 
 def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
              reason_sep: str | None = None, keep_hits: bool = False,
-             start_valid: Column | None = None, start_reason: Column | None = None) -> Validation:
+             start_valid: Column | None = None, start_reason: Column | None = None,
+             stage_sides: bool = False) -> Validation:
     """Apply ``rules`` in order. See module docstring for semantics.
 
     ``reason_sep=None`` appends reasons verbatim (``coalesce(r,'') || text``);
     a string joins them with ``concat_ws(sep, ...)``. ``start_valid`` /
     ``start_reason`` carry flags set upstream (e.g. unreadable documents).
+    ``stage_sides=True`` stores duplicate groups and fact reference keys as
+    tables (``functions.joins.stored_side``): computed once, broadcast when
+    they turn out small, so the large staging side is not shuffled — the
+    choice for full-size staging tables (the jobs use it). ``False`` keeps one
+    lazy plan and leaves join choices to AQE, cheaper for small inputs.
     """
     if mode not in (FIRST_FAILURE, ACCUMULATE):
         raise ValueError(mode)
@@ -116,13 +122,15 @@ def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
                         .withColumn(f"__fk_ok_{i}", F.lit(True)))
             if rule.dimension:
                 ref_keys = bounded_broadcast(ref_keys)
+            elif stage_sides:
+                ref_keys = stored_side(ref_keys)
             local = F.col(rule.column) if isinstance(rule.column, str) else rule.column
             out = (out.withColumn(f"__fk_l_{i}", local)
                    .join(ref_keys, F.col(f"__fk_l_{i}") == F.col(f"__fk_{i}"), "left")
                    .withColumn(hit_name, eligible & F.col(f"__fk_ok_{i}").isNull())
                    .drop(f"__fk_{i}", f"__fk_ok_{i}", f"__fk_l_{i}"))
         elif isinstance(rule, Duplicate):
-            out = _apply_duplicate(out, rule, i, hit_name, eligible)
+            out = _apply_duplicate(out, rule, i, hit_name, eligible, stage_sides)
         else:
             raise TypeError(type(rule))
         out = (out.withColumn("error_reason",
@@ -139,7 +147,7 @@ def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
 
 
 def _apply_duplicate(out: DataFrame, rule: Duplicate, i: int, hit_name: str,
-                     eligible: Column) -> DataFrame:
+                     eligible: Column, stage_sides: bool = False) -> DataFrame:
     key_names = [f"__dk_{i}_{j}" for j in range(len(rule.keys))]
     out = out.select("*", *[k.alias(n) for k, n in zip(rule.keys, key_names)])
     if rule.order:
@@ -155,6 +163,9 @@ def _apply_duplicate(out: DataFrame, rule: Duplicate, i: int, hit_name: str,
     elif rule.keep == "max":
         aggs.append(F.max(f"__do_{i}").alias(f"__dkeep_{i}"))
     groups = pop.groupBy(*key_names).agg(*aggs).where(F.col(f"__dn_{i}") > 1)
+    if stage_sides:
+        # Usually few keys repeat: store the groups, broadcast them if small.
+        groups = stored_side(groups)
     # Tag population membership so only members of a group can be hit.
     out = out.withColumn(f"__dpop_{i}", population)
     if rule.require_keys:
@@ -213,7 +224,7 @@ def summary(flagged: DataFrame, extra: dict[str, Column] | None = None) -> DataF
 c = F.col
 
 
-def check_fixtures(stg: DataFrame, teams: DataFrame) -> Validation:
+def check_fixtures(stg: DataFrame, teams: DataFrame, stage_sides: bool = False) -> Validation:
     """V01 — five rules, first failure; log key fixture_id or '<NULL>'."""
     rules = [
         RowRule("missing_fixture_id", "missing_fixture_id; ", c("fixture_id").isNull()),
@@ -222,7 +233,7 @@ def check_fixtures(stg: DataFrame, teams: DataFrame) -> Validation:
         ForeignKey("missing_away_team", "missing_away_team; ", "away_team_id", teams, "team_id"),
         Duplicate("dup_fixture_id", "dup_fixture_id; ", [c("fixture_id")], keep=None, among="valid"),
     ]
-    v = validate(stg, rules, FIRST_FAILURE)
+    v = validate(stg, rules, FIRST_FAILURE, stage_sides=stage_sides)
     v.rejects = rejects(v.flagged, "stg_fixtures",
                         F.coalesce(c("fixture_id").cast("string"), F.lit("<NULL>")),
                         F.trim(c("error_reason"), F.lit("; "))).distinct()
@@ -231,7 +242,7 @@ def check_fixtures(stg: DataFrame, teams: DataFrame) -> Validation:
 
 def check_match_events(stg: DataFrame, fixtures: DataFrame, teams: DataFrame,
                        order: Sequence[Column], id_col: Column | None = None,
-                       strict_nulls: bool = False) -> Validation:
+                       strict_nulls: bool = False, stage_sides: bool = False) -> Validation:
     """V02 — four rules, first failure. ``order`` is the staging order
     (surrogate id) used to keep the first of duplicates."""
     type_pred = ~F.lower(c("event_type")).isin("goal", "card", "subst", "var")
@@ -250,7 +261,7 @@ def check_match_events(stg: DataFrame, fixtures: DataFrame, teams: DataFrame,
                   keep="min", order=order, among="valid", require_keys=False),
     ]
     # The fk rule is a composite (fixture OR team missing): expand it.
-    v = _validate_events(stg, rules)
+    v = _validate_events(stg, rules, stage_sides)
     if id_col is not None:
         v.rejects = rejects(v.flagged, "stg_match_events", id_col)
     return v
@@ -268,10 +279,12 @@ def _events_fk(fixtures, teams):
     return _EventsFK(fixtures, teams)
 
 
-def _validate_events(stg: DataFrame, rules) -> Validation:
+def _validate_events(stg: DataFrame, rules, stage_sides: bool = False) -> Validation:
     fk = rules[0]
     fx = (fk.fixtures.select(c("fixture_id").alias("__fx")).where(c("__fx").isNotNull()).distinct()
           .withColumn("__fx_ok", F.lit(True)))
+    if stage_sides:
+        fx = stored_side(fx)
     tm = bounded_broadcast(fk.teams.select(c("team_id").alias("__tm")).where(c("__tm").isNotNull()).distinct()
                            .withColumn("__tm_ok", F.lit(True)))
     pre = (stg.join(fx, stg["fixture_id"] == fx["__fx"], "left")
@@ -279,7 +292,7 @@ def _validate_events(stg: DataFrame, rules) -> Validation:
            .withColumn("__fk_missing", c("__fx_ok").isNull() | c("__tm_ok").isNull())
            .drop("__fx", "__fx_ok", "__tm", "__tm_ok"))
     first = RowRule(fk.name, fk.reason, c("__fk_missing"))
-    v = validate(pre, [first, *rules[1:]], FIRST_FAILURE)
+    v = validate(pre, [first, *rules[1:]], FIRST_FAILURE, stage_sides=stage_sides)
     v.flagged = v.flagged.drop("__fk_missing")
     return v
 
@@ -290,7 +303,7 @@ STAT_COLUMNS = ["shots_on_goal", "shots_off_goal", "shots_inside_box", "shots_ou
 
 
 def check_match_statistics(stg: DataFrame, latest_order: Sequence[Column],
-                           columns: Sequence[str] | None = None) -> Validation:
+                           columns: Sequence[str] | None = None, stage_sides: bool = False) -> Validation:
     """V03 — 23 row predicates + duplicate-keep-latest, accumulate-all.
 
     ``columns`` limits the negative checks to columns present in ``stg``
@@ -315,7 +328,7 @@ def check_match_statistics(stg: DataFrame, latest_order: Sequence[Column],
               for x in ["shots_on_goal", "shots_off_goal", "shots_inside_box", "shots_outside_box"]]
     rules += [Duplicate("duplicate", "Duplicate staging row; ", [c("fixture_id"), c("team_id")],
                         keep="max", order=latest_order, among="all")]
-    v = validate(stg, rules, ACCUMULATE)
+    v = validate(stg, rules, ACCUMULATE, stage_sides=stage_sides)
     key = F.concat(F.coalesce(c("fixture_id"), F.lit(-1)).cast("string"), F.lit("-"),
                    F.coalesce(c("team_id"), F.lit(-1)).cast("string"))
     v.rejects = rejects(v.flagged, "stg_match_statistics", key)
@@ -363,7 +376,7 @@ def saves_exceed_opponent_shots(flagged_stats: DataFrame) -> DataFrame:
             .agg(F.count_distinct("fixture_id").alias("dq_saves_gt_opponent_sog")))
 
 
-def check_players(stg: DataFrame, as_of, stg_id: str = "stg_player_id") -> Validation:
+def check_players(stg: DataFrame, as_of, stg_id: str = "stg_player_id", stage_sides: bool = False) -> Validation:
     """V04 — names normalised (trim -> NULL), five rules, first failure."""
     from touchline.functions.scalars import blank_to_null, digits_int
     norm = (stg.withColumn("firstname", blank_to_null("firstname"))
@@ -387,7 +400,7 @@ def check_players(stg: DataFrame, as_of, stg_id: str = "stg_player_id") -> Valid
                          F.when(bad_w, "Unrealistic weight; ").otherwise("")),
                 bad_h | bad_w),
     ]
-    v = validate(norm, rules, FIRST_FAILURE)
+    v = validate(norm, rules, FIRST_FAILURE, stage_sides=stage_sides)
     v.flagged = v.flagged.drop("__h", "__w")
     key = F.concat(F.coalesce(c("player_id").cast("string"), F.lit("NULL")), F.lit("-"), c(stg_id).cast("string"))
     v.rejects = rejects(v.flagged, "stg_players", key)
@@ -420,7 +433,8 @@ def players_rule_counts(stg: DataFrame, as_of) -> DataFrame:
     return _to_long(both.select(*[c(x).cast("bigint").alias(x) for x in cols]), cols)
 
 
-def check_standings(stg: DataFrame, teams: DataFrame, order: Sequence[Column]) -> Validation:
+def check_standings(stg: DataFrame, teams: DataFrame, order: Sequence[Column],
+                    stage_sides: bool = False) -> Validation:
     """V05 — R1–R7 accumulate into one trimmed reason; then R8 (duplicate in
     group, keep the first by ``order``) and R9 (team FK) append with a space."""
     r = {
@@ -449,7 +463,8 @@ def check_standings(stg: DataFrame, teams: DataFrame, order: Sequence[Column]) -
                   keep="min", order=order, among="all"),
         ForeignKey("R9", "Missing team FK;", "team_id", teams, "team_id"),
     ]
-    v = validate(pre, rules, ACCUMULATE, reason_sep=" ", start_valid=c("__v17"), start_reason=c("__r17"))
+    v = validate(pre, rules, ACCUMULATE, reason_sep=" ", start_valid=c("__v17"), start_reason=c("__r17"),
+                 stage_sides=stage_sides)
     v.flagged = v.flagged.drop("__r17", "__v17")
     key = F.concat(c("league_id").cast("string"), F.lit("-"), c("season_year").cast("string"), F.lit("-"),
                    F.coalesce(c("group_label"), F.lit("")), F.lit("-"), c("team_id").cast("string"))
@@ -476,7 +491,7 @@ def check_player_season_stats(stg: DataFrame, id_col: str = "stg_stats_id") -> V
     return v
 
 
-def check_teams(stg: DataFrame, venues: DataFrame | None = None) -> Validation:
+def check_teams(stg: DataFrame, venues: DataFrame | None = None, stage_sides: bool = False) -> Validation:
     """V07 (defined from the result contract): id or name missing; duplicate
     (team, season); venue id not in venues."""
     rules = [
@@ -484,7 +499,7 @@ def check_teams(stg: DataFrame, venues: DataFrame | None = None) -> Validation:
                 c("team_id").isNull() | F.coalesce(F.trim(c("name")) == "", F.lit(True))),
         Duplicate("duplicate", "Duplicate team_id; ", [c("team_id"), c("season_year")], keep=None),
     ]
-    v = validate(stg, rules, FIRST_FAILURE)
+    v = validate(stg, rules, FIRST_FAILURE, stage_sides=stage_sides)
     if venues is not None:
         vk = venues.select(c("venue_id").alias("__vk")).distinct().withColumn("__vok", F.lit(True))
         f = v.flagged.join(vk, v.flagged["venue_id"] == vk["__vk"], "left")
@@ -498,7 +513,7 @@ def check_teams(stg: DataFrame, venues: DataFrame | None = None) -> Validation:
     return v
 
 
-def check_venues(stg: DataFrame) -> Validation:
+def check_venues(stg: DataFrame, stage_sides: bool = False) -> Validation:
     """V08 (defined from the result contract): id or name missing; duplicate id;
     negative capacity."""
     rules = [
@@ -507,12 +522,12 @@ def check_venues(stg: DataFrame) -> Validation:
         Duplicate("duplicate", "Duplicate venue_id; ", [c("venue_id")], keep=None),
         RowRule("bad_capacity", "Negative capacity; ", c("capacity") < 0),
     ]
-    v = validate(stg, rules, FIRST_FAILURE)
+    v = validate(stg, rules, FIRST_FAILURE, stage_sides=stage_sides)
     v.rejects = rejects(v.flagged, "stg_venues", c("venue_id"))
     return v
 
 
-def check_news(stg: DataFrame, tabs: Sequence[str] | None = None) -> Validation:
+def check_news(stg: DataFrame, tabs: Sequence[str] | None = None, stage_sides: bool = False) -> Validation:
     """V09 (defined from the contract): keeps flags set while flattening,
     then mandatory fields, tab whitelist, url shared by different articles."""
     from touchline.functions.scalars import NEWS_TABS
@@ -533,7 +548,7 @@ def check_news(stg: DataFrame, tabs: Sequence[str] | None = None) -> Validation:
     url_ids = (stg.where(c("url").isNotNull()).groupBy("url")
                .agg(F.count_distinct("article_id").alias("__url_ids")))
     base = base.join(url_ids, "url", "left")
-    v = validate(base, rules, FIRST_FAILURE, start_valid=c("__sv"), start_reason=c("__sr"))
+    v = validate(base, rules, FIRST_FAILURE, start_valid=c("__sv"), start_reason=c("__sr"), stage_sides=stage_sides)
     v.flagged = v.flagged.drop("__sv", "__sr", "__url_ids")
     v.rejects = rejects(v.flagged, "stg_news", c("article_id"))
     return v

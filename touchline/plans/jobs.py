@@ -77,7 +77,7 @@ def run_fixtures(spark: SparkSession, root: str, fixtures: DataFrame, teams: Dat
     from touchline.functions.windows import latest_by
     stg = latest_by(stg, ["fixture_id"], [c("stg_order").desc()])
     stg = stage(stg, _path(spark, staging_path, "stg_fixtures"))
-    v = V.check_fixtures(stg, teams)
+    v = V.check_fixtures(stg, teams, stage_sides=True)
     res, new_venues = M.merge_fixtures(fixtures, v.flagged, venues, as_of)
     outcomes = chosen.select("league_id", "season_year", F.lit(True).alias("ok"),
                              F.lit(str(as_of)).cast("timestamp_ntz").alias("loaded_at"))
@@ -95,7 +95,7 @@ def run_standings(spark: SparkSession, root: str, standings: DataFrame, fixtures
     files = files.join(scope.select("league_id", "season_year"), ["league_id", "season_year"], "left_semi")
     chosen = SN.latest_file(files, ["league_id", "season_year"])
     stg = stage(FL.flatten_standings(_docs(spark, chosen, SC.STANDINGS)), _path(spark, staging_path, "stg_standings"))
-    v = V.check_standings(stg, teams, order=[c("stg_order")])
+    v = V.check_standings(stg, teams, order=[c("stg_order")], stage_sides=True)
     res, counts = M.merge_standings(standings, v.flagged, fixtures, as_of, n)
     return {"staging": v.flagged, "rejects": v.rejects, "standings": res.merged, "counts": counts}
 
@@ -109,7 +109,7 @@ def run_match_events(spark: SparkSession, root: str, events: DataFrame, fixtures
     files = files.withColumn("mode", F.regexp_extract(c("file_path"), r"/([a-z]+)/[a-z]+_\d{8}_\d{6}Z/", 1))
     chosen = SN.latest_run(files, ["league_id", "season_year", "mode"], SN.RUN_STAMP_EVENTS, "yyyyMMdd_HHmmss", 2)
     stg = stage(FL.flatten_events(_docs(spark, chosen, SC.EVENTS)), _path(spark, staging_path, "stg_match_events"))
-    v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")])
+    v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")], stage_sides=True)
     res, new_players = M.merge_match_events(events, v.flagged, players, as_of, order=[c("stg_order")])
     return {"staging": v.flagged, "rule_counts": v.rule_counts, "events": res.merged,
             "placeholder_players": new_players}
@@ -124,7 +124,7 @@ def run_match_statistics(spark: SparkSession, root: str, stats: DataFrame, fixtu
     stg = stage(FL.pivot_statistics(_docs(spark, chosen, SC.STATISTICS, on_bad="error_row")),
                 _path(spark, staging_path, "stg_match_statistics"))
     base = stg.withColumnRenamed("is_valid", "__pv").withColumnRenamed("error_reason", "__pr")
-    v = V.check_match_statistics(base, latest_order=[c("stg_order")])
+    v = V.check_match_statistics(base, latest_order=[c("stg_order")], stage_sides=True)
     flagged = (v.flagged.withColumn("is_valid", c("is_valid") & c("__pv"))
                .withColumn("error_reason", F.coalesce(c("__pr"), c("error_reason"))).drop("__pv", "__pr"))
     res = M.merge_match_statistics(stats, flagged, fixtures, as_of)
