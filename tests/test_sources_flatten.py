@@ -193,3 +193,16 @@ def test_players_from_pages_and_squads(spark, tmp_path):
     from touchline.sources.sinks import player_documents
     docs = {r.player_id: json.loads(r.document) for r in player_documents(pages, squads).collect()}
     assert docs[2]["response"][0]["player"]["name"] == "B" and docs[1]["results"] == 1
+
+
+def test_flatten_seasons_meta(spark, tmp_path):
+    entry = {"league": {"id": 39, "name": "L"}, "country": {"name": "C"},
+             "seasons": [{"year": 2021, "start": "2021-08-01", "end": "2022-05-01", "current": False},
+                         {"year": 2022, "start": "2022-08-01", "end": "2023-05-01"},
+                         {"year": 2023, "start": "2023-08-01", "end": "2024-05-01", "current": True}]}
+    p = _write(str(tmp_path), "meta/39/league.json", {"response": [entry]})
+    docs = SN.read_snapshots(spark, [p], SC.LEAGUES).withColumn("league_id", F.lit(39))
+    catalog = spark.createDataFrame([(39, 2022, None, True)], "league_id int, first_season int, last_season int, "
+                                                             "is_enabled boolean")
+    rows = sorted((r.season_year, r.is_current, r.season_str) for r in FL.flatten_seasons(docs, catalog).collect())
+    assert rows == [(2022, False, "2022_23"), (2023, True, "2023_24")]

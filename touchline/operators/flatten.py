@@ -244,6 +244,20 @@ def flatten_leagues(docs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Dat
     return leagues, seasons
 
 
+def flatten_seasons(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """one document per league (``league_id`` scope column) -> one row per
+    season object within the catalog's first..last season (open last = no
+    upper bound); ``current`` as a boolean, canonical season label."""
+    e = docs.select("league_id", F.explode("doc.response").alias("e"))
+    s = e.select("league_id", F.explode("e.seasons").alias("s"))
+    s = s.join(catalog.where(c("is_enabled")).select("league_id", "first_season", "last_season"), "league_id")
+    s = s.where((c("s.year") >= c("first_season")) & (c("last_season").isNull() | (c("s.year") <= c("last_season"))))
+    return s.select("league_id", c("s.year").alias("season_year"), F.try_to_date(c("s.start")).alias("start_date"),
+                    F.try_to_date(c("s.end")).alias("end_date"),
+                    F.coalesce(c("s.current"), F.lit(False)).alias("is_current"),
+                    S.season_label(c("s.year")).alias("season_str"))
+
+
 # F13 -----------------------------------------------------------------------------
 def flatten_news(docs: DataFrame) -> DataFrame:
     """One row per result; short URL preferred; summary = trailText without
