@@ -207,8 +207,9 @@ def stats_by_side(sides: DataFrame) -> DataFrame:
 
 # Q12 -----------------------------------------------------------------------------
 def match_timeline(events: DataFrame, players: DataFrame) -> DataFrame:
-    p = players.select("player_id", c("full_name").alias("actor"))
-    pa = players.select(c("player_id").alias("assist_player_id"), c("full_name").alias("assistant"))
+    small = is_small(players.select("player_id", "full_name"))
+    p = dim(players.select("player_id", c("full_name").alias("actor")), small=small)
+    pa = dim(players.select(c("player_id").alias("assist_player_id"), c("full_name").alias("assistant")), small=small)
     j = events.join(p, "player_id", "left").join(pa, "assist_player_id", "left")
     ed = F.lower(F.trim(F.coalesce(c("event_detail"), F.lit(""))))
     return j.select(

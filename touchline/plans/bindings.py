@@ -238,32 +238,50 @@ class Bound:
         self.materialize = materialize
         self._loaded: set[str] = set()
 
-    def _stored(self, name: str) -> DataFrame:
-        """The view as a stored Parquet table (the application's tables are
-        stored, not views over other tables): written once per run below the
-        session's checkpoint folder, then read. Cuts the lineage, so every
-        unit starts from the stored table instead of re-deriving it."""
+    def _stored_path(self, name: str) -> str:
         import hashlib
-        from pyspark.errors import AnalysisException
         from touchline.session import ensure_checkpoint_dir
         key = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/touchline-bound/{key}/{name}"
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/touchline-bound/{key}/{name}"
+
+    def _read_stored(self, name: str) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
         try:
-            return self.spark.read.parquet(path)
+            return self.spark.read.parquet(self._stored_path(name))
         except AnalysisException:
-            self.spark.sql(VIEWS[name]).write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path)
+            return None
+
+    def _stored(self, name: str) -> DataFrame:
+        """The view as a stored Parquet table (the application's tables are
+        stored, not views over other tables): written once per run below the
+        session's checkpoint folder, then read. Cuts the lineage, so every
+        unit starts from the stored table instead of re-deriving it."""
+        df = self._read_stored(name)
+        if df is None:
+            self._ensure_deps(name)
+            # One file per core: a single small file would be scanned by one task.
+            parts = self.spark.sparkContext.defaultParallelism
+            (self.spark.sql(VIEWS[name]).repartition(parts)
+             .write.mode("overwrite").parquet(self._stored_path(name)))
+            df = self.spark.read.parquet(self._stored_path(name))
+        return df
+
+    def _ensure_deps(self, name: str) -> None:
+        for dep in _deps(name):
+            self._ensure(dep)
+        for base in BASE_TABLES:
+            if re.search(rf"\b{base}\b", VIEWS[name]):
+                self._ensure(base)
 
     def _ensure(self, name: str) -> None:
         if name in self._loaded:
             return
         if name in VIEWS:
-            for dep in _deps(name):
-                self._ensure(dep)
-            for base in BASE_TABLES:
-                if re.search(rf"\b{base}\b", VIEWS[name]):
-                    self._ensure(base)
-            df = self._stored(name) if self.materialize else self.spark.sql(VIEWS[name])
+            if self.materialize:
+                df = self._stored(name)
+            else:
+                self._ensure_deps(name)
+                df = self.spark.sql(VIEWS[name])
             df.createOrReplaceTempView(name)
         elif name in BASE_TABLES:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
