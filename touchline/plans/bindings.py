@@ -266,6 +266,19 @@ class Bound:
             df = self.spark.read.parquet(self._stored_path(name))
         return df
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A table derived by library operators (e.g. the production events
+        table a serving query reads), stored once per run like the views;
+        ``build()`` returns its DataFrame. Inline when not materializing."""
+        if not self.materialize:
+            return build()
+        df = self._read_stored(name)
+        if df is None:
+            parts = self.spark.sparkContext.defaultParallelism
+            build().repartition(parts).write.mode("overwrite").parquet(self._stored_path(name))
+            df = self.spark.read.parquet(self._stored_path(name))
+        return df
+
     def _ensure_deps(self, name: str) -> None:
         for dep in _deps(name):
             self._ensure(dep)
