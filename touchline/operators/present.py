@@ -189,10 +189,11 @@ def stat_comparison(by_side: DataFrame) -> DataFrame:
     return long.select(
         "fixture_id", "stat_order", "stat", "home_value", "away_value",
         F.when(hv > av, "home").when(av > hv, "away").otherwise("none").alias("winner"),
+        # Shares as exact decimals (4 places): equal across engines, unlike doubles.
         F.when(c("kind") == "possession", F.when(total > 0, F.round(lp * 100 / total, 4)).otherwise(lp))
-        .alias("home_bar_pct"),
+        .cast("decimal(7,4)").alias("home_bar_pct"),
         F.when(c("kind") == "possession", F.when(total > 0, F.round(rp * 100 / total, 4)).otherwise(rp))
-        .alias("away_bar_pct"))
+        .cast("decimal(7,4)").alias("away_bar_pct"))
 
 
 # P11 -----------------------------------------------------------------------------

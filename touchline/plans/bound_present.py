@@ -188,8 +188,10 @@ long as ({_stack_sql()}),
 p as (select *, least(greatest(home_value, 0), 100) * 1.0 as lp, least(greatest(away_value, 0), 100) * 1.0 as rp from long)
 select fixture_id, stat_order, stat, home_value, away_value,
   case when home_value > away_value then 'home' when away_value > home_value then 'away' else 'none' end as winner,
-  case when kind = 'possession' then case when lp + rp > 0 then round(lp * 100 / (lp + rp), 4) else lp end end as home_bar_pct,
-  case when kind = 'possession' then case when lp + rp > 0 then round(rp * 100 / (lp + rp), 4) else rp end end as away_bar_pct
+  cast(case when kind = 'possession' then case when lp + rp > 0 then round(lp * 100 / (lp + rp), 4) else lp end end
+       as decimal(7,4)) as home_bar_pct,
+  cast(case when kind = 'possession' then case when lp + rp > 0 then round(rp * 100 / (lp + rp), 4) else rp end end
+       as decimal(7,4)) as away_bar_pct
 from p
 """)
 def q_stat_comparison(b):
