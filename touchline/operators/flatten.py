@@ -46,11 +46,6 @@ FLOAT_STATS = {"expected_goals", "goals_prevented"}
 NEWS_MANDATORY = ["id", "webTitle", "webPublicationDate"]
 
 
-def _audit(df: DataFrame, as_of=None) -> DataFrame:
-    ts = F.lit(str(as_of)).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
-    return df.withColumn("load_timestamp", ts)
-
-
 # F01 -----------------------------------------------------------------------------
 def flatten_fixtures(docs: DataFrame) -> DataFrame:
     """One row per response item with a ``fixture``; league and season come

@@ -397,11 +397,6 @@ def fill_venue_geo(target: DataFrame, fills: DataFrame, as_of):
     return out.drop("f__venue_name", "f__city", "f__country", "__has_fill", "__filled")
 
 
-def first_occurrence(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """First row per key in (file, position) order — F08 / S10."""
-    return latest_by(df, [key], list(order))
-
-
 # M16 -----------------------------------------------------------------------------
 def merge_catalog(target: DataFrame, requested: DataFrame, as_of) -> MergeResult:
     """Bulk upsert of requested leagues: alias = slug + '_' + id, last_season only
