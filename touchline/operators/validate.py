@@ -363,15 +363,19 @@ def saves_exceed_opponent_shots(flagged_stats: DataFrame) -> DataFrame:
     team. Per fixture only the two smallest per-team minima are needed, so the
     work is linear in the rows even if one fixture holds many rows.
     """
+    from touchline.functions.windows import top_n_per_group
     v = flagged_stats.where(c("is_valid") & c("team_id").isNotNull())
     per_team = v.groupBy("fixture_id", "team_id").agg(
         F.max("goalkeeper_saves").alias("ms"), F.min("shots_on_goal").alias("mg"))
-    best = (per_team.where(c("mg").isNotNull()).groupBy("fixture_id")
-            .agg(F.min(F.struct(c("mg"), c("team_id"))).alias("b1")))
-    second = (per_team.join(best, "fixture_id").where(c("team_id") != c("b1.team_id"))
-              .groupBy("fixture_id").agg(F.min("mg").alias("g2")))
-    t = per_team.join(best, "fixture_id", "left").join(second, "fixture_id", "left")
-    other_min = F.when(c("team_id") == c("b1.team_id"), c("g2")).otherwise(c("b1.mg"))
+    # Two smallest per-team minima per fixture (distinct teams): a partial
+    # top-2 before the shuffle, then one row per fixture.
+    two = top_n_per_group(per_team.where(c("mg").isNotNull()), ["fixture_id"], [c("mg"), c("team_id")], 2,
+                          rank_col="r")
+    lows = two.groupBy("fixture_id").agg(
+        F.max(F.when(c("r") == 1, c("mg"))).alias("g1"), F.max(F.when(c("r") == 1, c("team_id"))).alias("t1"),
+        F.max(F.when(c("r") == 2, c("mg"))).alias("g2"))
+    t = per_team.join(lows, "fixture_id", "left")
+    other_min = F.when(c("team_id") == c("t1"), c("g2")).otherwise(c("g1"))
     return (t.where(c("ms") > other_min)
             .agg(F.count_distinct("fixture_id").alias("dq_saves_gt_opponent_sog")))
 
