@@ -13,6 +13,7 @@ with the scale factor.
 from __future__ import annotations
 
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -187,6 +188,8 @@ select cast(event_id as string) as article_id,
 """
 
 _VIEW_REF = re.compile(r"\bv_[a-z_]+\b")
+# Build-if-missing of stored tables must not race when queries run from threads.
+_STORE_LOCK = threading.RLock()
 
 
 def _deps(name: str) -> list[str]:
@@ -252,6 +255,10 @@ class Bound:
             return None
 
     def _stored(self, name: str) -> DataFrame:
+        with _STORE_LOCK:
+            return self._stored_unlocked(name)
+
+    def _stored_unlocked(self, name: str) -> DataFrame:
         """The view as a stored Parquet table (the application's tables are
         stored, not views over other tables): written once per run below the
         session's checkpoint folder, then read. Cuts the lineage, so every
@@ -272,6 +279,10 @@ class Bound:
         ``build()`` returns its DataFrame. Inline when not materializing."""
         if not self.materialize:
             return build()
+        with _STORE_LOCK:
+            return self._stored_build(name, build)
+
+    def _stored_build(self, name: str, build) -> DataFrame:
         df = self._read_stored(name)
         if df is None:
             parts = self.spark.sparkContext.defaultParallelism
