@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,20 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one block of bytes: number, then type and length of each, then their items."""
+    head = [len(arrays).to_bytes(2, "little")]
+    head += [a.dtype.str.encode().ljust(4) + len(a).to_bytes(6, "little") for a in arrays]
+    return b"".join([*head, *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(data[:2], "little")
+    at, out = 2 + 10 * n, []
+    for i in range(n):
+        kind, size = np.dtype(data[2 + 10 * i:6 + 10 * i].decode().strip()), int.from_bytes(data[6 + 10 * i:12 + 10 * i], "little")
+        out.append(np.frombuffer(data, kind, size, at))
+        at += out[-1].nbytes
+    return out
