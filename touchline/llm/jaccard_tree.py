@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.joins import bounded_broadcast
 from touchline.llm.common import binary_texts, cut, map_arrow, shuffle_partitions, text_slices
 from touchline.llm.components import components
 from touchline.llm.textops import distinct_sets, mix
@@ -42,6 +43,7 @@ BLOCK = 1024
 FANOUT = 8
 BITS = 2048
 SLICE = 1 << 23
+MAX_BROADCAST = 500_000      # rows of two numbers
 U = np.uint64
 
 
@@ -59,15 +61,16 @@ def digest(s: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (0: no shingles) of every row."""
+    """doc_id, text_hash, n_shingles, class_id (0: no shingles) of every row."""
     def run(batch):
         texts, ids = binary_texts(batch), batch.column("doc_id")
         for part in text_slices(texts):
             sets = distinct_sets(texts[part])
-            yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())],
-                                             names=["doc_id", "n_shingles", "class_id"])
+            yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(sets)), batch.column("text_hash").slice(part.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([digest(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "n_shingles", "class_id"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class_id long")
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return map_arrow(hashed, run, "doc_id long, text_hash long, n_shingles long, class_id long")
 
 
 # A block: number of classes, then their names and sizes, then for each shingle its class's place and its value's lower bits.
@@ -326,23 +329,37 @@ def class_links(docs: DataFrame, parts: int, spanning: bool = True) -> DataFrame
     return links.union(cut(_joined(large.join(ends, ["component", "block"]).drop("last"), spanning)))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class_id, component (the name of one of its classes; null without shingles) of every row."""
     named = cut(classes(docs))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(min(65_536, max(2 * shuffle_partitions(docs), -(-total // 2_000_000))))
     joined = components(class_links(docs, parts).select("a", "b")).withColumnRenamed("id", "class_id")
-    least = named.where("class_id <> 0").groupBy("class_id").agg(F.min("doc_id").alias("_least")).join(joined, "class_id", "left")
-    least = least.withColumn("component", F.coalesce("component", "class_id"))
-    heads = least.groupBy("component").agg(F.min("_least").alias("component_id"))
-    owner = least.select("class_id", "component").join(heads, "component").select("class_id", "component_id")
-    return named.join(owner, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a hot class is one key of many narrow rows; adaptive execution may split it
+    return named.join(joined, "class_id", "left").withColumn("component", F.when(F.col("class_id") != 0, F.coalesce("component", "class_id")))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id (the smallest id of the component) of every row."""
+    rows = cut(grouped(docs))
+    heads = rows.groupBy("component").agg(F.min("doc_id").alias("component_id")).where("component is not null")
+    return rows.join(heads, "component", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; all columns. Rows without shingles stay."""
-    groups = jaccard_components(docs)
-    # ids that repeat would all stay: of rows with one id only one does, unless wordless
-    keep = groups.where(F.col("class_id") != 0).where("doc_id = component_id").select("doc_id").distinct()
-    plain = groups.where("class_id = 0").select("doc_id").distinct()
-    return docs.join(keep.union(plain).distinct(), "doc_id", "left_semi")
+    """The rows of ``docs``, all columns, without all but one of each component: the smallest id stays (null
+    is the largest), of equal ids the one with the smallest hash of its text, of equal rows one. Rows without shingles stay."""
+    rows = cut(grouped(docs).where("component is not null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")
+    heads = rows.groupBy("component").agg(F.min(rank).alias("head"))
+    marked = cut(rows.join(heads, "component").select("doc_id", "text_hash", (rank == F.col("head")).alias("stays")))
+    names = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    gone = cut(names(marked.where("not stays")).distinct())
+    twice = cut(names(marked.where("stays")).groupBy("_id", "_hash").count().where("count > 1").drop("count"))
+    kept = docs.join(bounded_broadcast(gone, MAX_BROADCAST), same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    repeated = docs.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_semi")
+    once = repeated.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return kept.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_anti").union(once)

@@ -170,3 +170,12 @@ def pack_digest(docs: DataFrame) -> DataFrame:
                                          names=[c if c != "ids" else "ids_crc32" for c in batch.schema.names])
 
     return map_arrow(pack(docs), digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
+def packed_sequences(docs: DataFrame) -> DataFrame:
+    """``pack`` with the ids as an array of integers."""
+    def arrays(batch):
+        ids = pa.array([unpacked(x).astype(np.int32) for x in batch.column("ids").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids" else ids for c in batch.schema.names], names=batch.schema.names)
+
+    return map_arrow(pack(docs), arrays, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
