@@ -45,8 +45,15 @@ def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b if b is not None else b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+#: Texts vary from a few bytes to many pages, so a worker's batches are bounded by bytes, not by rows alone.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that yields batches."""
+    """``mapInArrow`` with a function of one batch that yields batches; sets the session's batch sizes to ``BATCH``."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
