@@ -5,13 +5,12 @@ shingles is ``NUM / DEN`` (0.75) or more. Equal sets form one class, so copies c
 nothing. The join between classes is exact:
 
 1. Every shingle's document frequency is counted (map tasks send, for each shingle partition, one
-   packed block: six bytes a shingle and a table of the classes). A class of n
+   packed block: eight bytes a shingle and a table of the classes). A class of n
    shingles can only link if at least ceil(0.75 n) of them occur in another class; the others
    are done. The rest continue with their shared shingles alone: no overlap lies elsewhere.
 2. Linked classes share one of their n - ceil(0.75 n) + 1 rarest shingles. Classes
    that share such a shingle are put into one candidate component; no link leaves it.
-3. Within a component, classes sorted by size are cut into blocks of ``BLOCK``; each
-   block forms a signature tree. A node holds the OR of its classes' token bitmaps, the range
+3. A component's classes are dealt to blocks of about ``BLOCK``; each block, sorted by size, forms a signature tree. A node holds the OR of its classes' token bitmaps, the range
    of their sizes, and the largest excess of tokens over bits; a pair of nodes is dropped when
    its sizes are too far apart or min(excess) + popcount(AND) is below the overlap that
    its smallest members would need. Pairs of leaves are verified on the sets.
@@ -30,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.joins import bounded_broadcast
-from touchline.llm.common import binary_texts, cut, map_arrow, shuffle_partitions, text_slices
+from touchline.llm.common import binary_texts, cut, map_arrow, pack_arrays, shuffle_partitions, text_slices, unpack_arrays
 from touchline.llm.components import components
 from touchline.llm.textops import distinct_sets, mix
 
@@ -43,6 +42,7 @@ BLOCK = 1024
 FANOUT = 8
 BITS = 2048
 SLICE = 1 << 23
+PART_SHINGLES = 4_000_000
 MAX_BROADCAST = 500_000      # rows of two numbers
 U = np.uint64
 
@@ -73,27 +73,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return map_arrow(hashed, run, "doc_id long, text_hash long, n_shingles long, class_id long")
 
 
-# A block: number of classes, then their names and sizes, then for each shingle its class's place and its value's lower bits.
-
-def _block(names, sizes, places, values) -> bytes:
-    low, high = (values & U(0xFFFFFFFF)).astype("<u4"), ((values >> U(32)) & U(0xFFFF)).astype("<u2")
-    return b"".join((np.array([len(names), len(values)], "<u4").tobytes(), names.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(),
-                     places.astype("<u2").tobytes(), low.tobytes(), high.tobytes()))
-
-
-def _read(data: bytes):
-    c, v = np.frombuffer(data, "<u4", 2).tolist()
-    at = 8
-    out = []
-    for kind, n in (("<i8", c), ("<u4", c), ("<u2", v), ("<u4", v), ("<u2", v)):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
-    names, sizes, places, low, high = out
-    return names, sizes, places, low.astype(np.uint64) | (high.astype(np.uint64) << U(32))
-
-
-def shared_shingles(docs: DataFrame, parts: int) -> DataFrame:
-    """class_id, n, tokens: the classes with enough shared shingles; tokens are 8-byte numbers of
+def shared_shingles(docs: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
+    """sizes: class_id, n. Returns class_id, n, tokens: the classes with enough shared shingles; tokens are 8-byte numbers of
     the shingles that another class holds too, rarest first (document frequency, then number)."""
     def scatter(batch):
         texts = binary_texts(batch)
@@ -109,70 +90,68 @@ def shared_shingles(docs: DataFrame, parts: int) -> DataFrame:
                 yield from _scattered(np.array(some, np.int64), [found[k] for k in some], parts)
 
     def frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        names, sizes, values = [], [], []
+        names, values = [], []
         for data in table["data"].to_pylist():
-            n, s, places, v = _read(data)
-            names.append(n[places])
-            sizes.append(s[places])
-            values.append(v)
-        names, sizes, values = (np.concatenate(x) for x in (names, sizes, values))
+            n, place, low, high = unpack_arrays(data)
+            names.append(n[place])
+            values.append(low.astype(np.uint64) | (high.astype(np.uint64) << U(32)))
+        names, values = np.concatenate(names), np.concatenate(values)
         order = np.lexsort((names, values))
-        names, sizes, values = names[order], sizes[order], values[order]
+        names, values = names[order], values[order]
         once = np.concatenate(([True], (values[1:] != values[:-1]) | (names[1:] != names[:-1])))
-        names, sizes, values = names[once], sizes[once], values[once]
+        names, values = names[once], values[once]
         new = np.concatenate(([True], values[1:] != values[:-1]))
         number = np.cumsum(new) - 1
         df = np.bincount(number)
         keep = df[number] > 1
-        names, sizes, number, df = names[keep], sizes[keep], number[keep], np.minimum(df[number][keep], 65_535)
+        names, number, df = names[keep], number[keep], np.minimum(df[number][keep], 65_535)
         # back to the classes: blocks by the class's own partition
-        home = (names.view(np.uint64) % U(parts)).astype(np.int64)
+        home = names % parts
         order = np.lexsort((number, names, home))
-        names, sizes, number, df, home = names[order], sizes[order], number[order], df[order], home[order]
+        names, number, df, home = names[order], number[order].astype(np.uint32), df[order].astype(np.uint16), home[order]
         edges = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))) if len(home) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(edges[:-1], edges[1:]):
             first = np.flatnonzero(np.concatenate(([True], names[a + 1:b] != names[a:b - 1])))
-            counts = np.diff(np.append(first, b - a))
-            rows.append((int(home[a]), np.array([len(first), b - a], "<u4").tobytes() + names[a:b][first].astype("<i8").tobytes() + sizes[a:b][first].astype("<u4").tobytes()
-                         + counts.astype("<u4").tobytes() + number[a:b].astype("<u4").tobytes() + df[a:b].astype("<u2").tobytes()))
-        return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "origin": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
-
-    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        all_names, all_sizes, all_tokens, all_df = [], [], [], []
-        for origin, data in zip(table["origin"].to_pylist(), table["data"].to_pylist()):
-            c, v = np.frombuffer(data, "<u4", 2).tolist()
-            at, cols = 8, []
-            for kind, n in (("<i8", c), ("<u4", c), ("<u4", c), ("<u4", v), ("<u2", v)):
-                cols.append(np.frombuffer(data, kind, n, at))
-                at += cols[-1].nbytes
-            all_names.append(np.repeat(cols[0], cols[2]))
-            all_sizes.append(np.repeat(cols[1], cols[2]))
-            all_tokens.append((U(origin) << U(32)) | cols[3].astype(np.uint64))
-            all_df.append(cols[4])
-        names, sizes, tokens, df = (np.concatenate(x) for x in (all_names, all_sizes, all_tokens, all_df))
-        order = np.lexsort((tokens, df, names))
-        names, sizes, tokens = names[order], sizes[order].astype(np.int64), tokens[order]
-        edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True])))
-        rows = [(int(names[a]), int(sizes[a]), tokens[a:b].astype("<u8").tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b - a >= least_shared(int(sizes[a]))]
+            rows.append(pack_arrays(names[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint32), number[a:b], df[a:b]))
+        return pa.table({"home": pa.array(home[edges[:-1]], pa.int32()), "origin": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
+
+    def gather(key: tuple[pa.Scalar, ...], blocks: pa.Table, known: pa.Table) -> pa.Table:
+        names, tokens, df = [], [], []
+        for origin, data in zip(blocks["origin"].to_pylist(), blocks["data"].to_pylist()):
+            name, count, number, d = unpack_arrays(data)
+            names.append(np.repeat(name, count))
+            tokens.append((U(origin) << U(32)) | number.astype(np.uint64))
+            df.append(d)
+        rows = []
+        if names:
+            names, tokens, df = np.concatenate(names), np.concatenate(tokens), np.concatenate(df)
+            order = np.lexsort((tokens, df, names))
+            names, tokens = names[order], tokens[order]
+            edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True])))
+            ids, n = np.array(known["class_id"]), np.array(known["n"])
+            n = n[np.argsort(ids)][np.searchsorted(np.sort(ids), names[edges[:-1]])].tolist()
+            rows = [(int(names[a]), size, tokens[a:b].astype("<u8").tobytes()) for a, b, size in zip(edges[:-1], edges[1:], n) if b - a >= least_shared(size)]
         return pa.table({"class_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "tokens": pa.array([r[2] for r in rows], pa.binary())})
 
-    return (map_arrow(docs.select("text"), scatter, "part int, data binary")
-            .groupBy("part").applyInArrow(frequencies, "home int, origin int, data binary")
-            .groupBy("home").applyInArrow(gather, "class_id long, n long, tokens binary"))
+    blocks = (map_arrow(docs.select("text"), scatter, "part int, data binary")
+              .groupBy("part").applyInArrow(frequencies, "home int, origin int, data binary"))
+    known = sizes.withColumn("home", F.pmod("class_id", F.lit(parts)).cast("int"))
+    return blocks.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(gather, "class_id long, n long, tokens binary")
 
 
 def _scattered(names, sets, parts):
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat, places = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    flat, places = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     # the upper bits choose the partition, the lower 48 tell shingles apart in it
     part = ((flat >> U(48)) * U(parts) >> U(16)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if (some := order[edges[p]:edges[p + 1]]).size:
-            used, place = np.unique(places[some], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_block(names[used], sizes[used], place, flat[some])], pa.binary())], names=["part", "data"])
+    for p in np.flatnonzero(np.diff(edges)):
+        some = order[edges[p]:edges[p + 1]]
+        used, place = np.unique(places[some], return_inverse=True)
+        values = flat[some]
+        data = pack_arrays(names[used], place.astype(np.uint16), (values & U(0xFFFFFFFF)).astype(np.uint32), ((values >> U(32)) & U(0xFFFF)).astype(np.uint16))
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
 
 def _candidates(active: DataFrame) -> DataFrame:
@@ -300,14 +279,15 @@ def _joined(rows: DataFrame, spanning: bool) -> DataFrame:
     return rows.groupBy("component", "i", "j").applyInArrow(join, "a long, b long, shared long")
 
 
-def class_links(docs: DataFrame, parts: int, spanning: bool = True) -> DataFrame:
+def class_links(docs: DataFrame, sizes: DataFrame, parts: int, spanning: bool = True) -> DataFrame:
     """(a, b, shared): links between classes; with ``spanning``, enough of them to connect what links connect."""
-    active = cut(shared_shingles(docs, parts))
+    active = cut(shared_shingles(docs, sizes, parts))
     within = _candidates(active)
-    nth = F.row_number().over(Window.partitionBy("component").orderBy("n", "class_id")) - 1
-    blocks = (active.select("class_id", "n").join(within, F.col("class_id") == F.col("id")).drop("id")
-              .withColumn("block", (nth / BLOCK).cast("int")).withColumn("last", F.max("block").over(Window.partitionBy("component"))))
-    placed = cut(active.select("class_id", "tokens").join(blocks, "class_id"))
+    # classes are dealt to a component's blocks by hash: no window gathers a large component
+    counts = within.groupBy("component").agg(((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
+    blocks = (within.join(counts, "component").withColumnRenamed("id", "class_id")
+              .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("last") + 1).cast("int")))
+    placed = cut(active.join(blocks, "class_id"))
     zero, block = F.lit(0), F.col("block")
     # each block with itself, and with the first
     partners = F.when(block == 0, F.sequence(zero, F.col("last"))).otherwise(F.array(zero, block))
@@ -333,8 +313,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component (the name of one of its classes; null without shingles) of every row."""
     named = cut(classes(docs))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(min(65_536, max(2 * shuffle_partitions(docs), -(-total // 2_000_000))))
-    joined = components(class_links(docs, parts).select("a", "b")).withColumnRenamed("id", "class_id")
+    parts = int(min(65_536, max(shuffle_partitions(docs), -(-total // PART_SHINGLES))))
+    sizes = named.where("class_id <> 0").groupBy("class_id").agg(F.max("n_shingles").alias("n"))
+    joined = components(class_links(docs, sizes, parts).select("a", "b")).withColumnRenamed("id", "class_id")
     # a hot class is one key of many narrow rows; adaptive execution may split it
     return named.join(joined, "class_id", "left").withColumn("component", F.when(F.col("class_id") != 0, F.coalesce("component", "class_id")))
 
