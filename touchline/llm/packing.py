@@ -1,7 +1,6 @@
 """Packing: documents' token ids into sequences of at most ``CAPACITY`` tokens.
 
-Each document is tokenised once (one tokenizer call for each distinct word
-of a batch; white space always ends a token, so words can be encoded apart),
+Each document is tokenised once (a worker calls the tokenizer once for each distinct word it meets),
 with id ``END`` appended, and stored in the shared checkpoint folder. Documents are dealt
 by a hash to groups of about ``GROUP_TOKENS`` tokens; a group fits one task
 whatever the corpus, and loses less than one sequence to padding.
@@ -21,7 +20,9 @@ into pieces; an empty table gives no rows; further columns are passed over.
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,54 +31,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import binary_texts, cut, map_arrow, text_slices
-from touchline.llm.textops import joined, word_hashes, word_spans
+from touchline.llm.textops import LOWER, joined, word_hashes, word_spans
 
 CAPACITY = 4096
 END = 2
 GROUP_TOKENS = 1 << 22
 LINEAR = 6.0
 TOKENIZER = "word_bpe_49k.json"
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_500_000
+
+
+# A run of these after an ASCII letter or digit is always a token sequence of its own.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?*#%&$+=~^@/)]}")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 
 
 class WordTokenizer:
-    """Token ids of whole texts from one encoding of each distinct word."""
+    """Token ids of whole texts from one encoding of each distinct word.
+
+    White space ends every token, the vocabulary is lower case, and marks that follow a letter or digit form tokens
+    of their own; so a word's ASCII letters are lowered and trailing marks split off
+    before the look-up. Known words are kept as flat sorted arrays, ``_WORDS_KEPT`` at most, then learnt anew.
+    Slices with a ``<`` (special tokens are case-sensitive) are left as they are."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # one thread for each Spark core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) > _WORDS_KEPT:       # bounded memory: start anew
-            self.known, self.ids = {}, []
-        for h, e in zip(hashes.tolist(), self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[h] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, flat])
+        hashes, begin, size = (np.concatenate(x) for x in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
+        order = np.argsort(hashes)
+        self.hashes, self.begin, self.size = hashes[order], begin[order], size[order]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         buf, starts = joined(texts)
         begin, end = word_spans(buf)
+        if not (buf == ord("<")).any():
+            buf = LOWER[buf]
+            # the start of each word's tail: after the last byte that is no mark, if that is a letter or digit
+            marks = np.flatnonzero(~_TAIL[buf])
+            last = marks[np.searchsorted(marks, end) - 1] if len(marks) else end - 1
+            split = (last >= begin) & (last < end - 1) & _PLAIN[buf[np.maximum(last, 0)]]
+            tail = last[split] + 1
+            end_ = end.copy()
+            end_[split] = tail
+            order = np.argsort(np.concatenate([begin, tail]), kind="stable")
+            begin, end = np.concatenate([begin, tail])[order], np.concatenate([end_, end[split]])[order]
         hashes, first, which = np.unique(word_hashes(buf, begin, end), return_index=True, return_inverse=True)
-        new = [i for i, h in enumerate(hashes.tolist()) if h not in self.known]
-        if new:
-            if len(self.known) + len(new) > _WORDS_KEPT:
-                self.known, self.ids = {}, []
-                new = list(range(len(hashes)))
+        new = np.flatnonzero(~self._known(hashes))
+        if len(self.hashes) + len(new) > _WORDS_KEPT:
+            self._forget()
+            new = np.arange(len(hashes))
+        if len(new):
             raw = buf.tobytes()
-            self._learn(hashes[new], [raw[begin[first[i]]:end[first[i]]].decode() for i in new])
-        parts = [self.ids[self.known[h]] for h in hashes.tolist()]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        offsets = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(parts) else np.zeros(0, np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        counts = sizes[which]
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
+        at = np.searchsorted(self.hashes, hashes)[which] if len(hashes) else np.zeros(0, np.int64)
+        counts = self.size[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(offsets[which] - (ends - counts), counts) + np.arange(total)
-        ids = flat[places]
-        word_of = np.searchsorted(begin, starts)
-        cuts = np.concatenate(([0], ends))[word_of]
+        ids = self.flat[np.repeat(self.begin[at] - (ends - counts), counts) + np.arange(total)]
+        cuts = np.concatenate(([0], ends))[np.searchsorted(begin, starts)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
