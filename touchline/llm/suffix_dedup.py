@@ -106,11 +106,13 @@ def repeated_starts(segments: list[bytes], before: np.ndarray, windows: np.ndarr
     first = REACH - before                            # the segment's first column
     with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as found:
         grid = np.full((width, m), 256, np.uint16)    # 256: no symbol here
-        owner = np.repeat(np.arange(m), sizes)
-        column = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]
-        grid[column, owner] = np.frombuffer(b"".join(segments), np.uint8)
+        for a in range(0, m, 1024):                   # a few segments at a time: the places take eight times the symbols' memory
+            z = sizes[a:a + 1024]
+            owner = np.repeat(np.arange(len(z)), z)
+            column = np.arange(len(owner)) - np.repeat(np.cumsum(z) - z, z) + first[a + owner]
+            grid[column, a + owner] = np.frombuffer(b"".join(segments[a:a + 1024]), np.uint8)
         grid[::-1].tofile(symbols)                    # in the order of the rounds
-        del grid, owner, column
+        del grid
         symbols.seek(0)
         order, common = np.arange(m), np.zeros(m, np.int16)
         for c in range(width - 1, -1, -1):
