@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(texts: list, limit: int = 1 << 20) -> Iterator[slice]:
+def text_slices(texts: list, limit: int = 1 << 18) -> Iterator[slice]:
     """Consecutive slices of ``texts`` with about ``limit`` bytes each (one
     longer text forms a slice of its own), so working arrays stay bounded."""
     start = size = 0
@@ -45,6 +46,15 @@ def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b if b is not None else b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Python workers wait for later tasks: what a task has freed goes back to the system, not to the worker's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):     # not glibc
+        pass
+
+
 #: Texts vary from a few bytes to many pages, so a worker's batches are bounded by bytes, not by rows alone.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -58,6 +68,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        give_back()
+
     return df.mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.joins import bounded_broadcast
-from touchline.llm.common import binary_texts, cut, map_arrow, pack_arrays, shuffle_partitions, text_slices, unpack_arrays
+from touchline.llm.common import binary_texts, cut, give_back, map_arrow, pack_arrays, shuffle_partitions, text_slices, unpack_arrays
 from touchline.llm.components import components
 from touchline.llm.textops import distinct_sets, mix
 
@@ -105,6 +105,7 @@ def shared_shingles(docs: DataFrame, sizes: DataFrame, parts: int) -> DataFrame:
         df = np.bincount(number)
         keep = df[number] > 1
         names, number, df = names[keep], number[keep], np.minimum(df[number][keep], 65_535)
+        give_back()
         # back to the classes: blocks by the class's own partition
         home = names % parts
         order = np.lexsort((number, names, home))

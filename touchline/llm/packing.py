@@ -38,7 +38,7 @@ END = 2
 GROUP_TOKENS = 1 << 22
 LINEAR = 6.0
 TOKENIZER = "word_bpe_49k.json"
-_WORDS_KEPT = 1_500_000
+_WORDS_KEPT = 1_000_000
 
 
 # A run of these after an ASCII letter or digit is always a token sequence of its own.

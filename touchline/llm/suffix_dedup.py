@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import binary_texts, cut, map_arrow, pack_arrays, shuffle_partitions, text_slices, unpack_arrays, whole_text
+from touchline.llm.common import binary_texts, cut, give_back, map_arrow, pack_arrays, shuffle_partitions, text_slices, unpack_arrays, whole_text
 from touchline.llm.textops import joined, mix, powers, prefix_sums
 
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM        # an anchor lies at most this far behind its window's start
-PIECE = 1 << 19              # window starts handled at once in one text
+PIECE = 1 << 18              # window starts handled at once in one text
 SLICE = 1 << 23
 BROADCAST_BYTES = 64 << 20
 U = np.uint64
@@ -207,6 +207,7 @@ def covered(docs: DataFrame, parts: int) -> DataFrame:
         same = np.concatenate(([False], h[1:] == h[:-1], [False]))
         keep = same[:-1] | same[1:]
         name, start = name[keep], start[keep]
+        give_back()
         return _by_class("starts", name, start, lambda s: np.sort(s).astype("<u4").tobytes())
 
     blocks = map_arrow(docs.select("text", "class_id"), scatter, "part int, data binary").groupBy("part").applyInArrow(several, "class_id long, starts binary")
@@ -249,6 +250,7 @@ def covered(docs: DataFrame, parts: int) -> DataFrame:
                 to.append(x)
         name, start, before, windows = (np.concatenate(x) for x in (names, starts, before, windows))
         who, offset = repeated_starts(pieces, before.astype(np.int64), windows.astype(np.int64))
+        give_back()
         return _by_class("starts", name[who], start[who].astype(np.int64) + offset, lambda s: _packed_ranges(*_ranges(np.unique(s))))
 
     found = map_arrow(texts, segments, "part int, data binary").groupBy("part").applyInArrow(compare, "class_id long, starts binary")
