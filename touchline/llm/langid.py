@@ -66,9 +66,12 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def train(docs: DataFrame, languages=LANGUAGES, max_train: int = MAX_TRAIN) -> np.ndarray:
     """(languages x BUCKETS) log probabilities, from the documents of smallest id hash in each language."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # first within salted parts of a language, then among their first ones: no task gets a language whole
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = (docs.where(F.col("lang").isin(*languages) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-              .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_train).drop("_n"))
+              .withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SALTS * SALTS)))
+              .withColumn("_n", least("lang", "_salt")).where(F.col("_n") <= max_train)
+              .withColumn("_n", least("lang")).where(F.col("_n") <= max_train).drop("_n", "_salt"))
     # max_train rows for each language at most
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 

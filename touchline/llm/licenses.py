@@ -64,7 +64,7 @@ def collision_probability(similarity: float, bands: int = BANDS, rows: int = ROW
 
 def _minima(values: np.ndarray, size: int, stride: int) -> np.ndarray:
     """Minima of ``values`` over windows of about ``size`` that start every ``stride`` (the last may be shorter)."""
-    blocks = np.minimum.reduceat(values, np.arange(0, len(values), stride))
+    blocks = values if stride == 1 else np.minimum.reduceat(values, np.arange(0, len(values), stride))
     span = max(1, -(-size // stride))
     out = blocks.copy()
     for j in range(1, span):
