@@ -337,7 +337,9 @@ def merge_news(target: DataFrame, stg_flagged: DataFrame, as_of, tab_order: Sequ
     rank = F.array_position(F.array(*[F.lit(t) for t in tab_order]), c("tab"))
     v = stg_flagged.where(c("is_valid")).withColumn("__tab_rank", rank)
     cols = [x for x in target.columns if x not in ("article_id", "load_date", "upd_date")]
-    d = latest_by(v, ["article_id"], [c("__tab_rank").desc()]).select("article_id", *cols)
+    # one tab may list an article twice: its later staging row wins
+    later = [c("stg_order").desc()] if "stg_order" in v.columns else []
+    d = latest_by(v, ["article_id"], [c("__tab_rank").desc(), *later]).select("article_id", *cols)
     return merge_upsert(target, d, ["article_id"], cols, as_of)
 
 

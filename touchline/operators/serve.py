@@ -79,10 +79,11 @@ def league_list(leagues: DataFrame, limit: int = 20) -> DataFrame:
 
 def league_page(leagues: DataFrame, page: int = 1, page_size: int = 50,
                 country: str | None = None) -> DataFrame:
-    """One page by name; ``has_next`` is true iff the page is full."""
+    """One page by name, optionally of countries that contain ``country``;
+    ``has_next`` is true iff the page is full."""
     if not 1 <= page_size <= 100 or page < 1:
         raise ValueError("page >= 1 and 1 <= page_size <= 100")
-    df = leagues if country is None else leagues.where(c("league_country").ilike(country))
+    df = leagues if country is None else leagues.where(c("league_country").ilike(f"%{country}%"))
     rows = _league_item(df).orderBy("name", "id").offset((page - 1) * page_size).limit(page_size)
     # The page is bounded by page_size, so an unpartitioned count over it is small.
     return rows.withColumn("has_next", F.count(F.lit(1)).over(Window.partitionBy()) == page_size)
@@ -95,7 +96,7 @@ def league_search(leagues: DataFrame, q: str, country: str | None = None, limit:
     if len(q) < 2 or not 1 <= limit <= 50:
         raise ValueError("q needs >= 2 characters; 1 <= limit <= 50")
     pattern = f"%{q}%"
-    df = leagues if country is None else leagues.where(c("league_country").ilike(country))
+    df = leagues if country is None else leagues.where(c("league_country").ilike(f"%{country}%"))
     df = df.where(c("league_name").ilike(pattern) | c("league_country").ilike(pattern))
     exact = F.when(F.lower(c("league_name")) == q.lower(), 0).otherwise(1)
     return _league_item(df.withColumn("__exact", exact).orderBy("__exact", "league_name", "league_id")

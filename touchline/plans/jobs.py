@@ -158,7 +158,9 @@ def run_players(spark: SparkSession, files: DataFrame, players: DataFrame, windo
     stg = stg.withColumn("stg_player_id", F.xxhash64(c("stg_order")))
     v = V.check_players(stg, str(as_of)[:10], stg_id="stg_player_id")
     cols = ["firstname", "lastname", "full_name", "birth_date", "height", "weight"]
-    res = M.merge_players(players, v.flagged, as_of, cols)
+    cols += [x for x in ("birth_country", "nationality", "photo_url") if x in players.columns]
+    # the last staging row of a player wins (the hashed id has no order)
+    res = M.merge_players(players, v.flagged, as_of, cols, stg_id="stg_order")
     return {"staging": v.flagged, "players": res.merged}
 
 

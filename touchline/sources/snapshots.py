@@ -187,7 +187,7 @@ def read_small_files(paths: DataFrame, path_col: str = "file_path") -> DataFrame
                     filesystem, inner = pafs.FileSystem.from_uri(uri)
                     with filesystem.open_input_stream(inner) as fh:
                         texts.append(fh.read().decode("utf-8"))
-                except (FileNotFoundError, OSError):
+                except FileNotFoundError:  # other errors (permission, network) fail the task
                     texts.append(None)
             yield pd.DataFrame({path_col: pdf[path_col], "text": texts})
     return paths.select(path_col).distinct().mapInPandas(read, f"{path_col} string, text string")
