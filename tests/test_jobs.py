@@ -4,8 +4,11 @@ snapshots written in the source application's path layout."""
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import merge as M
+from touchline.operators import validate as V
 from touchline.plans import jobs as J
 from touchline.sources import snapshots as SN
 
@@ -253,3 +256,42 @@ def test_incremental_ingest_processes_only_new_files(spark, tmp_path):
     from touchline.streaming.incremental import _current
     final = {r.fixture_id: r.home_score for r in _current(spark, table).collect()}
     assert final == {1: 1, 2: 3}
+
+
+VENUES_SCHEMA = "venue_id int, venue_name string, city string, country string"
+
+
+def test_fixture_paths_with_marks_and_rows_without_id(spark, tmp_path):
+    root = str(tmp_path / "a b%20ü+c")
+    _write(root, "fixtures/39/2024_25/full/full_20240801.json",
+           {"response": [_fx(1, 10, 11), _fx(None, 10, 11), _fx(None, 12, 13), _fx(2, 12, 13), _fx(2, 12, 13)]})
+    _write(root, "fixtures/39/2024_25/inc/inc_20240805T1200Z.json", "{broken")
+    _write(root, "fixtures/39/2024_25/inc/inc_20240806T1200Z.json", "")
+    out = J.run_fixtures(spark, root, spark.createDataFrame([], FIXTURES_SCHEMA), _teams(spark, [10, 11, 12, 13]),
+                         spark.createDataFrame([], VENUES_SCHEMA), AS_OF)
+    assert out["staging"].count() == 5
+    assert {(r.fixture_id, r.action) for r in out["fixtures"].collect()} == {(1, "insert")}
+    assert {(r.record_key, r.error_reason) for r in out["rejects"].collect()} == {
+        ("<NULL>", "missing_fixture_id"), ("2", "dup_fixture_id")}
+    assert out["ledger"].collect()[0].all_ok is False
+
+
+def test_repeated_source_key_is_an_error(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, name string")
+    source = spark.createDataFrame([(2, "b"), (2, "c")], "id int, name string")
+    merged = M.merge_upsert(target, source, ["id"], ["name"], AS_OF, audit=None).merged
+    with pytest.raises(Exception, match="repeats a key"):
+        merged.collect()
+    nulls = spark.createDataFrame([(None, "b"), (None, "c")], "id int, name string")
+    assert M.merge_upsert(target, nulls, ["id"], ["name"], AS_OF, audit=None).merged.count() == 3
+
+
+def test_absent_statistics_are_an_error(spark):
+    with pytest.raises(ValueError, match="red_cards"):
+        V.check_match_statistics(spark.createDataFrame([(1, 2)], "fixture_id int, team_id int"), [F.col("team_id")])
+
+
+def test_club_in_two_leagues_is_no_duplicate(spark):
+    stg = spark.createDataFrame([(1, "A", 39, 2024), (1, "A", 2, 2024), (3, "B", 39, 2024), (3, "B", 39, 2024)],
+                                "team_id int, name string, league_id int, season_year int")
+    assert {(r.team_id, r.is_valid) for r in V.check_teams(stg).flagged.collect()} == {(1, True), (3, False)}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.windows import latest_by
@@ -72,6 +72,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     * ``update_exprs[name] = (t, s) -> Column`` overrides the updated value.
     * ``insert_defaults`` fills target columns the source does not have.
     * ``audit`` = (load_date, upd_date) column names stamped with ``as_of``.
+    * A key that ``source`` holds twice is an error when the result is computed
+      (as ``ON CONFLICT`` raises); keys with a NULL never conflict. The count
+      shares the join's shuffle.
     * ``partition_cols`` (a subset of ``keys``, e.g. season_year): only target
       partitions the source touches take part, and the result holds only
       those partitions — write it with dynamic partition overwrite
@@ -90,7 +93,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     tcols = [x for x in target.columns if x not in keys]
     scols = [x for x in source.columns if x not in keys]
     t = target.select(*keys, *[c(x).alias(f"t__{x}") for x in tcols], F.lit(True).alias("__in_t"))
-    s = source.select(*keys, *[c(x).alias(f"s__{x}") for x in scols], F.lit(True).alias("__in_s"))
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    repeated = copies > 1
+    for k in keys:
+        repeated = repeated & c(k).isNotNull()
+    in_source = F.when(repeated, F.raise_error(F.lit(f"merge source repeats a key of {keys}")).cast("boolean")).otherwise(True)
+    s = source.select(*keys, *[c(x).alias(f"s__{x}") for x in scols], in_source.alias("__in_s"))
     j = t.join(s, keys, "full")
     in_t = c("__in_t").isNotNull()
     in_s = c("__in_s").isNotNull()

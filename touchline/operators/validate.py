@@ -306,13 +306,15 @@ def check_match_statistics(stg: DataFrame, latest_order: Sequence[Column],
                            columns: Sequence[str] | None = None, stage_sides: bool = False) -> Validation:
     """V03 — 23 row predicates + duplicate-keep-latest, accumulate-all.
 
-    ``columns`` limits the negative checks to columns present in ``stg``
-    (the source checks 14; a staging frame missing some simply skips them).
+    ``columns`` names the columns of the negative checks (the source checks
+    14); a staging frame without one of them is an error.
     ``latest_order`` orders rows so the max is the one kept (e.g. load time,
     then file and position).
     """
-    present = set(stg.columns)
-    cols = [x for x in (columns or STAT_COLUMNS) if x in present]
+    cols = list(columns or STAT_COLUMNS)
+    absent = [x for x in cols if x not in stg.columns]
+    if absent:
+        raise ValueError(f"staging lacks the statistics {absent}")
     rules = [RowRule("missing_keys", "Missing fixture_id or team_id; ",
                      c("fixture_id").isNull() | c("team_id").isNull())]
     rules += [RowRule(f"negative_{x}", f"Negative {x}; ", c(x) < 0) for x in cols]
@@ -497,11 +499,12 @@ def check_player_season_stats(stg: DataFrame, id_col: str = "stg_stats_id") -> V
 
 def check_teams(stg: DataFrame, venues: DataFrame | None = None, stage_sides: bool = False) -> Validation:
     """V07 (defined from the result contract): id or name missing; duplicate
-    (team, season); venue id not in venues."""
+    (team, league, season) — a club may play in several leagues of a season;
+    venue id not in venues."""
     rules = [
         RowRule("missing_id_or_name", "Missing team_id or name; ",
                 c("team_id").isNull() | F.coalesce(F.trim(c("name")) == "", F.lit(True))),
-        Duplicate("duplicate", "Duplicate team_id; ", [c("team_id"), c("season_year")], keep=None),
+        Duplicate("duplicate", "Duplicate team_id; ", [c("team_id"), c("league_id"), c("season_year")], keep=None),
     ]
     v = validate(stg, rules, FIRST_FAILURE, stage_sides=stage_sides)
     if venues is not None:

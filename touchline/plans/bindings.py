@@ -37,14 +37,14 @@ select r_regionkey as league_id, r_name as league_name,
 
 VIEWS["v_teams"] = """
 select n_nationkey as team_id, n_name as team_name, n_regionkey as league_id,
-  case when n_nationkey % 7 <> 0 then n_nationkey % 40 end as venue_id from nation
+  case when n_nationkey % 11 = 10 then -n_nationkey when n_nationkey % 7 <> 0 then n_nationkey end as venue_id from nation
 """
 
 VIEWS["v_venues"] = """
 select cast(s_suppkey as int) as venue_id, s_name as venue_name,
   case when s_suppkey % 4 <> 0 then concat('City ', cast(s_nationkey as string)) end as city,
   case when s_suppkey % 6 <> 0 then concat('Country ', cast(s_nationkey % 5 as string)) end as country
-from supplier where s_suppkey < 30
+from supplier
 """
 
 VIEWS["v_players"] = """
@@ -62,7 +62,7 @@ select o_orderkey as fixture_id, cast(c_nationkey % 5 as int) as league_id,
   concat('Round ', cast(month(o_orderdate) as string)) as round,
   case when o_orderstatus='F' then cast(o_custkey % 5 as int) end as home_score,
   case when o_orderstatus='F' then cast(o_orderkey % 3 as int) end as away_score,
-  cast(o_custkey % 40 as int) as venue_id
+  cast(case when o_custkey % 40 < 30 then o_custkey % 40 else -(o_custkey % 40) end as int) as venue_id
 from orders join customer on c_custkey = o_custkey
 """
 
@@ -118,21 +118,31 @@ select l_orderkey*10 + l_linenumber as ord1, l_partkey as ord2, l_suppkey as ord
 
 VIEWS["v_stg_stats"] = """
 select fixture_id, team_id, shots_on_goal, shots_off_goal, shots_inside_box, shots_outside_box, total_shots, possession,
-  goalkeeper_saves, total_passes, passes_accurate, pass_accuracy, load_seq from (
+  goalkeeper_saves, total_passes, passes_accurate, pass_accuracy, blocked_shots, corners, offsides, fouls, yellow_cards,
+  red_cards, load_seq from (
   select fixture_id, case when fixture_id % 59 = 0 then null else home_team_id end as team_id,
-    cast(fixture_id % 9 as int) - 1 as shots_on_goal, cast(fixture_id % 7 as int) as shots_off_goal,
-    cast(fixture_id % 8 as int) as shots_inside_box, cast(fixture_id % 6 as int) as shots_outside_box,
-    cast(10 + fixture_id % 5 as int) as total_shots, cast(fixture_id % 104 as int) as possession,
-    cast(fixture_id % 6 as int) as goalkeeper_saves, cast(300 + fixture_id % 200 as int) as total_passes,
-    cast(200 + fixture_id % 90 as int) as passes_accurate,
-    case when fixture_id % 3 = 0 then cast(fixture_id % 101 as int) end as pass_accuracy, 1 as load_seq
+    cast(fixture_id % 9 as int) - 1 as shots_on_goal,
+    case when fixture_id % 67 = 0 then -1 else cast(fixture_id % 7 as int) end as shots_off_goal,
+    case when fixture_id % 61 = 0 then -1 else cast(fixture_id % 8 as int) end as shots_inside_box,
+    case when fixture_id % 53 = 0 then -1 else cast(fixture_id % 6 as int) end as shots_outside_box,
+    case when fixture_id % 127 = 0 then -1 else cast(10 + fixture_id % 5 as int) end as total_shots,
+    cast(fixture_id % 104 as int) as possession,
+    case when fixture_id % 113 = 0 then -1 else cast(fixture_id % 6 as int) end as goalkeeper_saves,
+    case when fixture_id % 109 = 0 then -1 else cast(300 + fixture_id % 200 as int) end as total_passes,
+    case when fixture_id % 107 = 0 then -1 else cast(200 + fixture_id % 90 as int) end as passes_accurate,
+    case when fixture_id % 3 = 0 then cast(fixture_id % 101 as int) end as pass_accuracy,
+    cast(fixture_id % 97 as int) - 1 as blocked_shots, cast(fixture_id % 89 as int) - 1 as corners,
+    cast(fixture_id % 83 as int) - 1 as offsides, cast(fixture_id % 79 as int) - 1 as fouls,
+    cast(fixture_id % 73 as int) - 1 as yellow_cards, cast(fixture_id % 71 as int) - 1 as red_cards, 1 as load_seq
   from v_fixtures where fixture_id % 5 <> 4
   union all
   select fixture_id, away_team_id, cast(fixture_id % 5 as int), cast(fixture_id % 4 as int), cast(fixture_id % 3 as int),
-    cast(fixture_id % 2 as int), 9, cast(100 - fixture_id % 100 as int), cast(fixture_id % 7 as int), 250, 180, cast(null as int), 1
+    cast(fixture_id % 2 as int), 9, cast(100 - fixture_id % 100 as int), cast(fixture_id % 7 as int), 250, 180, cast(null as int),
+    3, 4, 2, 11, 1, 0, 1
   from v_fixtures where fixture_id % 6 <> 5
   union all
-  select fixture_id, away_team_id, 3, 3, 3, 3, 9, 50, 2, 0, null, cast(null as int), 2 from v_fixtures where fixture_id % 41 = 0) x
+  select fixture_id, away_team_id, 3, 3, 3, 3, 9, 50, 2, 0, null, cast(null as int),
+    null, 4, 2, 11, 1, 0, 2 from v_fixtures where fixture_id % 41 = 0) x
 """
 
 # Per-team season totals from finished fixtures; v_stg_standings plants its

@@ -9,7 +9,7 @@ previous version intact until the new one is complete).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline import schemas as SC
@@ -67,20 +67,27 @@ def _path(spark: SparkSession, staging_path: str | None, table: str) -> str | No
 
 
 # J01 -----------------------------------------------------------------------------
+def _last_file_wins(stg: DataFrame) -> DataFrame:
+    """A later file overrides the rows of a fixture in earlier ones. Rows without an id, and rows a
+    file repeats, stay for the rules."""
+    last = F.max("stg_order.file_path").over(Window.partitionBy("fixture_id"))
+    known = (stg.where(c("fixture_id").isNotNull()).withColumn("__last", last)
+             .where(c("stg_order.file_path") == c("__last")).drop("__last"))
+    return known.unionByName(stg.where(c("fixture_id").isNull()))
+
+
 def run_fixtures(spark: SparkSession, root: str, fixtures: DataFrame, teams: DataFrame, venues: DataFrame,
                  as_of, mode: str = "baseline", league_map: DataFrame | None = None,
                  staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/fixtures"), league_map)
     chosen, missing_base = SN.baseline_plus_inc(files, ["league_id", "season_year"], mode)
-    stg = FL.flatten_fixtures(_docs(spark, chosen, SC.FIXTURES))
-    # Later increments override earlier rows of the same fixture (file order).
-    from touchline.functions.windows import latest_by
-    stg = latest_by(stg, ["fixture_id"], [c("stg_order").desc()])
+    docs = _docs(spark, chosen, SC.FIXTURES, on_bad="error_row")
+    stg = _last_file_wins(FL.flatten_fixtures(docs))
     stg = stage(stg, _path(spark, staging_path, "stg_fixtures"))
     v = V.check_fixtures(stg, teams, stage_sides=True)
     res, new_venues = M.merge_fixtures(fixtures, v.flagged, venues, as_of)
-    outcomes = chosen.select("league_id", "season_year", F.lit(True).alias("ok"),
-                             F.lit(str(as_of)).cast("timestamp_ntz").alias("loaded_at"))
+    outcomes = docs.select("league_id", "season_year", c("is_valid").alias("ok"),
+                           F.lit(str(as_of)).cast("timestamp_ntz").alias("loaded_at"))
     from touchline.operators.scope import ingest_outcomes
     return {"staging": v.flagged, "rejects": v.rejects, "fixtures": res.merged, "summary": res.summary,
             "placeholder_venues": new_venues, "missing_baseline": missing_base,
@@ -109,9 +116,9 @@ def run_match_events(spark: SparkSession, root: str, events: DataFrame, fixtures
     files = files.withColumn("mode", F.regexp_extract(c("file_path"), r"/([a-z]+)/[a-z]+_\d{8}_\d{6}Z/", 1))
     chosen = SN.latest_run(files, ["league_id", "season_year", "mode"], SN.RUN_STAMP_EVENTS, "yyyyMMdd_HHmmss", 2)
     stg = stage(FL.flatten_events(_docs(spark, chosen, SC.EVENTS)), _path(spark, staging_path, "stg_match_events"))
-    v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")], stage_sides=True)
+    v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")], id_col=c("stg_order").cast("string"), stage_sides=True)
     res, new_players = M.merge_match_events(events, v.flagged, players, as_of, order=[c("stg_order")])
-    return {"staging": v.flagged, "rule_counts": v.rule_counts, "events": res.merged,
+    return {"staging": v.flagged, "rule_counts": v.rule_counts, "rejects": v.rejects, "events": res.merged,
             "placeholder_players": new_players}
 
 
@@ -128,7 +135,8 @@ def run_match_statistics(spark: SparkSession, root: str, stats: DataFrame, fixtu
     flagged = (v.flagged.withColumn("is_valid", c("is_valid") & c("__pv"))
                .withColumn("error_reason", F.coalesce(c("__pr"), c("error_reason"))).drop("__pv", "__pr"))
     res = M.merge_match_statistics(stats, flagged, fixtures, as_of)
-    return {"staging": flagged, "coverage": V.statistics_coverage(flagged, fixtures),
+    key = F.concat_ws("-", F.coalesce(c("fixture_id"), F.lit(-1)), F.coalesce(c("team_id"), F.lit(-1)))
+    return {"staging": flagged, "rejects": V.rejects(flagged, "stg_match_statistics", key), "coverage": V.statistics_coverage(flagged, fixtures),
             "dq": V.saves_exceed_opponent_shots(flagged), "statistics": res.merged}
 
 
@@ -161,7 +169,7 @@ def run_players(spark: SparkSession, files: DataFrame, players: DataFrame, windo
     cols += [x for x in ("birth_country", "nationality", "photo_url") if x in players.columns]
     # the last staging row of a player wins (the hashed id has no order)
     res = M.merge_players(players, v.flagged, as_of, cols, stg_id="stg_order")
-    return {"staging": v.flagged, "players": res.merged}
+    return {"staging": v.flagged, "rejects": v.rejects, "players": res.merged}
 
 
 def run_player_season_stats(spark: SparkSession, files: DataFrame, pss: DataFrame, window: str, as_of) -> dict:
@@ -170,7 +178,7 @@ def run_player_season_stats(spark: SparkSession, files: DataFrame, pss: DataFram
     stg = stg.withColumn("stg_stats_id", F.xxhash64(c("stg_order")))
     v = V.check_player_season_stats(stg)
     res = M.merge_player_season_stats(pss, v.flagged, as_of, order=[c("stg_order")])
-    return {"staging": v.flagged, "player_season_stats": res.merged}
+    return {"staging": v.flagged, "rejects": v.rejects, "player_season_stats": res.merged}
 
 
 # J08 -----------------------------------------------------------------------------

@@ -70,8 +70,9 @@ def read_snapshots(spark: SparkSession, paths: DataFrame | Sequence[str], schema
         empty = spark.createDataFrame([], "file_path string, value string")
         raw = empty
     else:
-        raw = (spark.read.option("wholetext", "true").text(plist)
-               .select(c("_metadata.file_path").alias("file_path"), "value"))
+        # The listing's source spells paths alike (``_metadata`` would encode blanks and marks).
+        raw = (spark.read.format("binaryFile").load(plist)
+               .select(c("path").alias("file_path"), c("content").cast("string").alias("value")))
     ok = F.try_parse_json(c("value")).isNotNull() & (F.trim(c("value")) != "")
     parsed = raw.select("file_path", ok.alias("__ok"),
                         F.when(ok, F.from_json(c("value"), schema)).alias("doc"))
