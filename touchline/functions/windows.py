@@ -38,6 +38,14 @@ def latest_by(df: DataFrame, keys: Sequence, order: Sequence[Column]) -> DataFra
     return top_n_per_group(df, keys, order, 1)
 
 
+def newest(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """All rows of each key's greatest ``value`` (ties kept; rows that lack a key or the value go):
+    one scan and one shuffle, of the rows that a map task's own ``rank() <= 1`` leaves."""
+    known = df.dropna(subset=[*keys, value])
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).desc()))
+    return known.withColumn("__place", place).filter(F.col("__place") <= 1).drop("__place")
+
+
 def long_form(fixtures: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Each fixture twice, once from each side.
 
@@ -61,15 +69,3 @@ def long_form(fixtures: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def finished_with_scores(fixtures: DataFrame, statuses=FINISHED) -> DataFrame:
     return fixtures.filter(F.col("status").isin(list(statuses))
                            & F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
-
-
-def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                   sep: str = "", alias: str = "value") -> DataFrame:
-    """string_agg(value, sep ORDER BY order) per key.
-
-    Callers feed bounded groups (after ``top_n_per_group``), so the collected
-    array per key is small whatever the data size.
-    """
-    s = F.struct(*[F.col(o) for o in order], F.col(value).alias("__v"))
-    return df.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["__v"]), sep).alias(alias))

@@ -283,7 +283,8 @@ def standings_candidates(stg_flagged: DataFrame, fixtures: DataFrame, n: int = 5
     for x in _REQUIRED:
         any_null = any_null | c(x).isNull()
     invalid = raw.where(any_null)
-    valid = raw.join(invalid.select(*STANDING_KEY).distinct(), STANDING_KEY, "left_anti")
+    gap = F.max(any_null).over(Window.partitionBy(*STANDING_KEY))
+    valid = raw.withColumn("__gap", gap).where(~c("__gap")).drop("__gap")
     # Form per distinct team key (decision: a team in two groups gets one form).
     form = team_form(fixtures, n).select("league_id", "season_year", "team_id", "form_compact")
     cand = (valid.join(form, ["league_id", "season_year", "team_id"], "left")

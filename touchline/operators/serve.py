@@ -143,12 +143,12 @@ def league_standings(standings: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 # Q09 -----------------------------------------------------------------------------
-def weekly_matches(fixtures: DataFrame, teams: DataFrame, start: str, days: int = 7) -> DataFrame:
-    """Every league's fixtures in [start, start + days)."""
+def weekly_matches(fixtures: DataFrame, teams: DataFrame, start: str | None = None, days: int = 7) -> DataFrame:
+    """Every league's fixtures in [start, start + days); without ``start`` from this week's Monday."""
     if not 1 <= days <= 14:
         raise ValueError("days must be within 1..14")
-    s = F.lit(start).cast("date").cast("timestamp_ntz")
-    e = F.date_add(F.lit(start).cast("date"), days).cast("timestamp_ntz")
+    first = F.lit(start).cast("date") if start else S.week_start_monday(F.current_date())
+    s, e = first.cast("timestamp_ntz"), F.date_add(first, days).cast("timestamp_ntz")
     f = fixtures.where((c("fixture_date") >= s) & (c("fixture_date") < e))
     return (_team_sides(f, teams)
             .select("league_id", c("fixture_id").alias("id"), c("fixture_date").alias("kickoff_utc"), "status",

@@ -324,23 +324,19 @@ select league_id, season_year, team_id, coalesce(group_label, '') as group_label
 from v_stg_standings
 where stg_seq = 1 and league_id is not null and season_year in (1996, 1998) and rank is not null
 """
+# A key is merged if none of its valid rows lacks a value.
 STANDINGS_SRC = f"""
-with f as ({BV.STANDINGS_FLAGGED_SQL}),
-s_raw as (
+select k.*, cast(5 as smallint) as form_window, coalesce(form.form_compact, '') as form_compact
+from (
   select league_id, season_year, team_id, coalesce(group_label, '') as group_label, rank, points, played, win, draw,
     lose, goals_for, goals_against, coalesce(goals_diff, goals_for - goals_against) as goals_diff
-  from f where is_valid),
-s_invalid as (
-  select * from s_raw where rank is null or points is null or played is null or win is null or draw is null
-    or lose is null or goals_for is null or goals_against is null or goals_diff is null),
-s_valid as (
-  select * from s_raw r where not exists (
-    select 1 from s_invalid i where i.league_id = r.league_id and i.season_year = r.season_year
-      and i.team_id = r.team_id and i.group_label = r.group_label)),
-fc as ({TEAM_FORM_ORACLE})
-select sv.*, cast(5 as smallint) as form_window, coalesce(fc.form_compact, '') as form_compact
-from s_valid sv left join fc on fc.league_id = sv.league_id and fc.season_year = sv.season_year
-  and fc.team_id = sv.team_id
+  from ({BV.STANDINGS_FLAGGED_SQL}) flagged where is_valid
+  window per_key as (partition by league_id, season_year, team_id, coalesce(group_label, ''))
+  qualify count(*) over per_key = count(rank) over per_key
+    and least({", ".join(f"count({x}) over per_key" for x in
+                         ("points", "played", "win", "draw", "lose", "goals_for", "goals_against"))})
+        = count(*) over per_key) k
+left join ({TEAM_FORM_ORACLE}) form using (league_id, season_year, team_id)
 """
 _SD_COLS = M.STANDING_COLS
 _SD_MERGE_ORACLE = upsert_oracle(STANDINGS_SRC, _audit_sql(STANDINGS_TARGET), M.STANDING_KEY, _SD_COLS)

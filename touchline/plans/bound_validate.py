@@ -156,22 +156,16 @@ def q_stats_error_log(b):
     return _stats(b).rejects
 
 
+# Finished fixtures by their number of valid rows, where the season's staging holds any row.
 _COVERAGE_SQL = """
-with f as ({flagged}),
-leagues_in_stg as (
-  select distinct x.league_id, x.season_year from f s join v_fixtures x on x.fixture_id = s.fixture_id
-), roll as (
-  select x.fixture_id, x.league_id,
-    count(s.fixture_id) filter (where s.is_valid and s.team_id is not null) as valid_rows
-  from v_fixtures x left join f s on s.fixture_id = x.fixture_id
-  where x.status in ('FT','AET','PEN')
-    and exists (select 1 from leagues_in_stg l where l.league_id = x.league_id and l.season_year = x.season_year)
-  group by x.fixture_id, x.league_id
-)
-select {keys} count(*) filter (where valid_rows = 2) as complete2,
-  count(*) filter (where valid_rows = 0) as missing0,
-  count(*) filter (where valid_rows = 1) as partial1
-from roll {group}
+select {keys} count(*) filter (where good = 2) as complete2, count(*) filter (where good = 0) as missing0,
+  count(*) filter (where good = 1) as partial1
+from (
+  select league_id, status, count(*) filter (where is_valid and flagged.team_id is not null) as good,
+    sum(count(flagged.fixture_id)) over (partition by league_id, season_year) as season_rows
+  from v_fixtures left join ({flagged}) flagged using (fixture_id)
+  group by fixture_id, league_id, season_year, status)
+where season_rows > 0 and status in ('FT','AET','PEN') {group}
 """
 
 
@@ -187,12 +181,13 @@ def q_statistics_coverage_by_league(b):
 
 
 @bound_query("saves_exceed_opponent_shots", f"""
-with f as ({STATS_FLAGGED_SQL})
-select count(*) as dq_saves_gt_opponent_sog from (
-  select s1.fixture_id from f s1 join f s2 on s1.fixture_id = s2.fixture_id and s1.team_id <> s2.team_id
-  where s1.is_valid and s2.is_valid and s1.goalkeeper_saves is not null and s2.shots_on_goal is not null
-    and s1.goalkeeper_saves > s2.shots_on_goal
-  group by s1.fixture_id) t
+select count(distinct fixture_id) as dq_saves_gt_opponent_sog
+from (
+  select fixture_id, max(goalkeeper_saves) as most_saves,
+    min(min(shots_on_goal)) over (partition by fixture_id rows between unbounded preceding and unbounded following
+                                  exclude current row) as fewest_shots_of_others
+  from ({STATS_FLAGGED_SQL}) flagged where is_valid and team_id is not null group by fixture_id, team_id)
+where most_saves > fewest_shots_of_others
 """)
 def q_saves_exceed(b):
     return V.saves_exceed_opponent_shots(_stats(b).flagged)

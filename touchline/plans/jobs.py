@@ -81,6 +81,9 @@ def run_fixtures(spark: SparkSession, root: str, fixtures: DataFrame, teams: Dat
                  staging_path: str | None = "auto") -> dict:
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/fixtures"), league_map)
     chosen, missing_base = SN.baseline_plus_inc(files, ["league_id", "season_year"], mode)
+    lacking = missing_base.limit(5).collect()
+    if lacking:
+        raise ValueError(f"no baseline snapshot for some leagues' seasons, such as {[tuple(r) for r in lacking]}")
     docs = _docs(spark, chosen, SC.FIXTURES, on_bad="error_row")
     stg = _last_file_wins(FL.flatten_fixtures(docs))
     stg = stage(stg, _path(spark, staging_path, "stg_fixtures"))
@@ -110,10 +113,13 @@ def run_standings(spark: SparkSession, root: str, standings: DataFrame, fixtures
 # J03 -----------------------------------------------------------------------------
 def run_match_events(spark: SparkSession, root: str, events: DataFrame, fixtures: DataFrame, teams: DataFrame,
                      players: DataFrame, scope: DataFrame, as_of, league_map: DataFrame | None = None,
-                     staging_path: str | None = "auto") -> dict:
+                     staging_path: str | None = "auto", mode: str | None = None) -> dict:
+    """``mode``: run folders of this mode only (``full``, ``incremental``); None takes the newest of each."""
     files = _scope_cols(SN.list_files(spark, f"{root.rstrip('/')}/match_events"), league_map)
     files = files.join(scope.select("league_id", "season_year"), ["league_id", "season_year"], "left_semi")
     files = files.withColumn("mode", F.regexp_extract(c("file_path"), r"/([a-z]+)/[a-z]+_\d{8}_\d{6}Z/", 1))
+    if mode:
+        files = files.where(c("mode") == mode)
     chosen = SN.latest_run(files, ["league_id", "season_year", "mode"], SN.RUN_STAMP_EVENTS, "yyyyMMdd_HHmmss", 2)
     stg = stage(FL.flatten_events(_docs(spark, chosen, SC.EVENTS)), _path(spark, staging_path, "stg_match_events"))
     v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")], id_col=c("stg_order").cast("string"), stage_sides=True)

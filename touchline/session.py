@@ -73,16 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="touchline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
-
-
-def cut_lineage(df, eager: bool = True):
-    """Checkpoint ``df`` into the shared checkpoint folder (never local).
-
-    Used by iterative jobs so a lost executor recomputes from the
-    checkpoint instead of from the original scans.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

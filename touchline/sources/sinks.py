@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
@@ -56,9 +56,7 @@ def write_snapshot(df: DataFrame, path: str, if_exists: str = "skip", fmt: str =
 
 
 # K05 -----------------------------------------------------------------------------
-def latest_n_per_group(df: DataFrame, group: str, order: list[Column], n: int = 50) -> DataFrame:
-    from touchline.functions.windows import top_n_per_group
-    return top_n_per_group(df, [group], order, n)
+# ``serve.latest_n_per_group`` (50 a tab) selects the rows; any sink stores them.
 
 
 # K06 -----------------------------------------------------------------------------
@@ -75,7 +73,8 @@ def player_documents(pages: DataFrame, squads: DataFrame | None = None) -> DataF
     if squads is None:
         return docs
     sq = (squads.select(F.explode("doc.response").alias("r")).select(F.explode("r.players").alias("p"))
-          .where(c("p.id").isNotNull()).select(c("p.id").alias("player_id"), "p").dropDuplicates(["player_id"]))
+          .where(c("p.id").isNotNull()).select(c("p.id").alias("player_id"), "p"))
+    sq = latest_by(sq, ["player_id"], [F.to_json(c("p"))])
     extra = sq.join(docs.select("player_id"), "player_id", "left_anti").select(
         "player_id", F.to_json(F.struct(
             F.lit(None).cast("string").alias("errors"), F.lit(1).alias("results"),

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from touchline.functions.windows import newest
+
 c = F.col
 
 # Path-stamp patterns of the snapshot layout.
@@ -93,9 +95,7 @@ def latest_run(files: DataFrame, by: Sequence[str], stamp_re: str, stamp_fmt: st
     stamp pattern are ignored."""
     s = F.regexp_extract(c("file_path"), stamp_re, group)
     f = files.withColumn("run_ts", F.when(s != "", F.try_to_timestamp(s, F.lit(stamp_fmt))))
-    f = f.where(c("run_ts").isNotNull())
-    newest = f.groupBy(*by).agg(F.max("run_ts").alias("run_ts"))
-    return f.join(newest, [*by, "run_ts"], "left_semi")
+    return newest(f, by, "run_ts")
 
 
 # S03 -------------------------------------------------------------------------------
@@ -110,10 +110,9 @@ def latest_window(files: DataFrame, by: Sequence[str], window: str, label_col: s
         cand = files.where(c(label_col).startswith(window + "_"))
     else:
         cand = files.where(c(label_col) == window)
-    newest = cand.groupBy(*by).agg(F.max(label_col).alias(label_col))
-    out = cand.join(newest, [*by, label_col], "left_semi")
+    out = newest(cand, by, label_col)
     if strict:
-        missing = files.select(*by).distinct().join(newest.select(*by), list(by), "left_anti")
+        missing = files.select(*by).distinct().join(cand.select(*by).distinct(), list(by), "left_anti")
         if missing.limit(1).count():
             raise ValueError(f"no snapshot for window {window!r} in some groups")
     return out
@@ -124,13 +123,10 @@ def latest_file(files: DataFrame, by: Sequence[str], by_embedded_ts: bool = Fals
     """Newest file per group: plain lexicographic max of the path (so any
     ``inc_`` sorts after every ``full_``), or by the embedded stamp."""
     if not by_embedded_ts:
-        newest = files.groupBy(*by).agg(F.max("file_path").alias("file_path"))
-        return files.join(newest, [*by, "file_path"], "left_semi")
+        return newest(files, by, "file_path")
     stamp = F.regexp_extract(c("file_path"), r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2})\.json$", 1)
     f = files.withColumn("__ts", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd_HH-mm")))
-    newest = f.groupBy(*by).agg(F.max(F.struct("__ts", "file_path")).alias("__m"))
-    return f.join(newest.select(*by, c("__m.file_path").alias("file_path")), [*by, "file_path"],
-                  "left_semi").drop("__ts")
+    return newest(f.withColumn("__m", F.struct("__ts", "file_path")), by, "__m").drop("__ts", "__m")
 
 
 # S05 -------------------------------------------------------------------------------
@@ -143,9 +139,7 @@ def baseline_plus_inc(files: DataFrame, by: Sequence[str], mode: str = "baseline
     f = (files.withColumn("full_ts", F.when(full_s != "", F.try_to_timestamp(full_s, F.lit("yyyyMMdd"))))
          .withColumn("inc_ts", F.when(inc_s != "", F.try_to_timestamp(inc_s, F.lit("yyyyMMdd'T'HHmm")))))
     if mode == "inc":
-        newest = f.where(c("inc_ts").isNotNull()).groupBy(*by).agg(F.max("inc_ts").alias("inc_ts"))
-        return f.join(newest, [*by, "inc_ts"], "left_semi").drop("full_ts", "inc_ts"), \
-            files.select(*by).limit(0)
+        return newest(f, by, "inc_ts").drop("full_ts", "inc_ts"), files.select(*by).limit(0)
     base = f.where(c("full_ts").isNotNull()).groupBy(*by).agg(F.max("full_ts").alias("base_ts"))
     g = f.join(base, list(by), "inner")
     chosen = g.where((c("full_ts") == c("base_ts")) | (c("inc_ts") > c("base_ts")))
