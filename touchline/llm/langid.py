@@ -4,7 +4,7 @@
    trigram distribution for each language, learnt from at most ``MAX_TRAIN`` labelled
    documents of each. Trigrams are not independent, so a text counts as
    ``EFFECTIVE`` of them at most.
-2. Declared language (``<html lang>``) and address suffix (the host's last
+2. Declared language (``<html lang>``, sought in the whole page outside comments, scripts and styles) and address suffix (the host's last
    label): P(value | language) from counts over all pages, each page counted
    by its text posterior, smoothed by ``ALPHA``.
 3. Host priors, smoothed hierarchically: a host's expected counts over the
@@ -45,7 +45,9 @@ SALTS = 16
 
 _HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(rb"<[^>]*>")
-_DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+# what a tag cannot open in (an end that is missing is the page's end), or an html tag with its attributes
+_OPENING = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b((?:\"[^\"]*\"|'[^']*'|[^>])*)", re.S | re.I)
+_DECLARED = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def visible(page: bytes) -> bytes:
@@ -54,8 +56,11 @@ def visible(page: bytes) -> bytes:
 
 
 def declared(page: bytes) -> str | None:
-    found = _DECLARED.search(page[:4096])   # the html element opens the page
-    return found[1].decode().lower() if found else None
+    """Language of the first html tag that names one, wherever it stands outside comments, scripts and styles."""
+    for tag in _OPENING.finditer(page):
+        if tag[2] and (found := _DECLARED.search(tag[2])):
+            return found[1].decode().lower()
+    return None
 
 
 def trigrams(text: bytes) -> np.ndarray:
