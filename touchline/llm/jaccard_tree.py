@@ -283,12 +283,19 @@ def _joined(rows: DataFrame, spanning: bool) -> DataFrame:
 def class_links(docs: DataFrame, sizes: DataFrame, parts: int, spanning: bool = True) -> DataFrame:
     """(a, b, shared): links between classes; with ``spanning``, enough of them to connect what links connect."""
     active = cut(shared_shingles(docs, sizes, parts))
-    within = _candidates(active)
+    return linked(cut(active.join(blocks_of(_candidates(active)), "class_id")), spanning)
+
+
+def blocks_of(within: DataFrame) -> DataFrame:
+    """within: id, component. Returns component, class_id, last, block."""
     # classes are dealt to a component's blocks by hash: no window gathers a large component
     counts = within.groupBy("component").agg(((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
-    blocks = (within.join(counts, "component").withColumnRenamed("id", "class_id")
-              .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("last") + 1).cast("int")))
-    placed = cut(active.join(blocks, "class_id"))
+    return (within.join(counts, "component").withColumnRenamed("id", "class_id")
+            .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("last") + 1).cast("int")))
+
+
+def linked(placed: DataFrame, spanning: bool = True) -> DataFrame:
+    """(a, b, shared): links within components. placed (checkpointed): class_id, n, tokens, component, last, block."""
     zero, block = F.lit(0), F.col("block")
     # each block with itself, and with the first
     partners = F.when(block == 0, F.sequence(zero, F.col("last"))).otherwise(F.array(zero, block))
