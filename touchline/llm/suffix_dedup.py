@@ -65,21 +65,26 @@ def _minima(keys: np.ndarray, width: int) -> np.ndarray:
 def anchors(texts: list[bytes]):
     """Runs of windows with one anchor: text, first start, last start, anchor's place, anchor's hash."""
     out = []
-    for part in text_slices(texts, PIECE):
-        some = texts[part]
+    # shorter texts have no window; without them a long text always forms a slice of its own
+    held = np.array([i for i, t in enumerate(texts) if len(t) >= LENGTH], np.int64)
+    windowed = [texts[i] for i in held]
+    for part in text_slices(windowed, PIECE):
+        some = windowed[part]
         if len(some) == 1 and len(some[0]) > PIECE + LENGTH:
             for b in range(0, len(some[0]) - LENGTH + 1, PIECE):
                 t, *places, h = _anchors([some[0][b:b + PIECE + LENGTH - 1]])
-                out.append((t + part.start, *(x + b for x in places), h))
+                out.append((held[t + part.start], *(x + b for x in places), h))
         else:
             t, *rest = _anchors(some)
-            out.append((t + part.start, *rest))
+            out.append((held[t + part.start], *rest))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
 
 
 def _anchors(texts: list[bytes]):
     buf, starts = joined(texts)
     n = len(buf)
+    if n > int(_PLACE):
+        raise ValueError("places of this many bytes do not fit beside the hashes")
     sizes = np.diff(starts) - 1
     if n < LENGTH or not (sizes >= LENGTH).any():
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
