@@ -204,7 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
               .groupBy("_id").agg(F.round(F.avg("_y")).alias("_y"))
               .where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_train))
     # at most max_train rows of two numbers: broadcast is bounded by the parameter
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_id", "_y", "text")
+    found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id")
+    # of rows that repeat an id the one with the least hash of its text counts; it goes by the hash, so map tasks send one narrow row for each id
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    chosen = found.select("_id", text_hash.alias("_hash")).groupBy("_id").agg(F.min("_hash").alias("_hash"))
+    rows = (found.withColumn("_hash", text_hash).join(F.broadcast(chosen), ["_id", "_hash"])
+            .groupBy("_id", "_y").agg(F.first("text", ignorenulls=True).alias("text")))
 
     def stats(batch):
         x = statistics(binary_texts(batch))
