@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_check import compare, duck_connect
-from conftest import SF_SMALL
+from sample_tables import SF_SMALL
 
 # the queries of the training-data subpackage are tested in tests/llm
 QUERIES = {k: v for k, v in E.queries().items() if not re.match(r"op\d+_|pipeline$", k)}

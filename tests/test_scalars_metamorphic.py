@@ -11,7 +11,7 @@ from touchline.operators import serve as Q
 from touchline.operators import validate as V
 from touchline.plans.bindings import Bound
 
-from conftest import SF_SMALL
+from sample_tables import SF_SMALL
 
 c = F.col
 
