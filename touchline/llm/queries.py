@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import fingerprints, jaccard_tree, langid, licenses, maxscore, mixing, negatives, packing, quality, sharding, suffix_dedup
+from touchline.llm import fingerprints, jaccard_tree, langid, licenses, maxscore, mixing, negatives, packing, prefix_trie, quality, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op11_hard_negatives": negatives.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
