@@ -241,23 +241,6 @@ def test_run_news(spark, tmp_path):
     assert fetched["a"] == "2024-01-02 05:00:00" and fetched["c"] == "2024-01-03 00:00:00"
 
 
-def test_incremental_ingest_processes_only_new_files(spark, tmp_path):
-    from touchline.streaming.incremental import fixtures_upsert_batch, incremental_ingest
-    from touchline import schemas as SC
-    src, table, ckpt = (str(tmp_path / x) for x in ("src", "table", "ckpt"))
-    spark.createDataFrame([], FIXTURES_SCHEMA).write.parquet(f"{table}/epoch=00000000")
-    teams = _teams(spark, [10, 11, 12])
-    venues = spark.createDataFrame([(7, "V", "C", "X")], "venue_id int, venue_name string, city string, country string")
-    body = fixtures_upsert_batch(table, teams, venues, AS_OF)
-    _write(src, "39/2024_25/full/full_20240801.json", {"response": [_fx(1, 10, 11), _fx(2, 11, 12)]})
-    incremental_ingest(spark, src, SC.FIXTURES, body, ckpt).awaitTermination(120)
-    _write(src, "39/2024_25/inc/inc_20240805T1200Z.json", {"response": [_fx(2, 11, 12, "FT", 3, 3)]})
-    incremental_ingest(spark, src, SC.FIXTURES, body, ckpt).awaitTermination(120)
-    from touchline.streaming.incremental import _current
-    final = {r.fixture_id: r.home_score for r in _current(spark, table).collect()}
-    assert final == {1: 1, 2: 3}
-
-
 VENUES_SCHEMA = "venue_id int, venue_name string, city string, country string"
 
 

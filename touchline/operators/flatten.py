@@ -239,6 +239,16 @@ def flatten_leagues(docs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Dat
     return leagues, seasons
 
 
+def league_document_counts(docs: DataFrame, worklist: DataFrame) -> DataFrame:
+    """F11 counts per league over the work-list's (league, year)s: documents
+    ``expected``, ``missing`` (no document), ``empty`` (no response items), ``loaded``."""
+    state = docs.groupBy("league_id", "season_year").agg(F.max(F.coalesce(F.size("doc.response") > 0, F.lit(False))).alias("__full"))
+    j = worklist.select("league_id", "season_year").distinct().join(state, ["league_id", "season_year"], "left")
+    return j.groupBy("league_id").agg(
+        F.count(F.lit(1)).alias("expected"), F.count_if(c("__full").isNull()).alias("missing"),
+        F.count_if(~c("__full")).alias("empty"), F.count_if(c("__full")).alias("loaded"))
+
+
 def flatten_seasons(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """one document per league (``league_id`` scope column) -> one row per
     season object within the catalog's first..last season (open last = no

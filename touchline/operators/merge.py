@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.numbering import numbered
 from touchline.functions.windows import latest_by
 
 INSERT, UPDATE, UNCHANGED = "insert", "update", "unchanged"
@@ -29,6 +30,7 @@ c = F.col
 class MergeResult:
     merged: DataFrame            # new target + action
     keys: list[str]
+    counts: dict | None = None   # rows by action, when a write of ``merged`` has counted them
 
     @property
     def new_target(self) -> DataFrame:
@@ -40,6 +42,9 @@ class MergeResult:
 
     @property
     def summary(self) -> DataFrame:
+        if self.counts is not None:
+            rows = [(a, self.counts[a]) for a in (INSERT, UPDATE, UNCHANGED) if self.counts[a]]
+            return self.merged.sparkSession.createDataFrame(rows, "action string, n long")
         return self.merged.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,7 +67,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
                  update_exprs: dict[str, Callable] | None = None,
                  insert_defaults: dict[str, Column] | None = None,
                  audit: tuple[str, str] | None = ("load_date", "upd_date"),
-                 partition_cols: Sequence[str] | None = None) -> MergeResult:
+                 partition_cols: Sequence[str] | None = None, unique_source: bool = False) -> MergeResult:
     """Upsert ``source`` into ``target`` on ``keys``.
 
     * ``when="distinct"`` — update only if any of ``compare_cols`` (default
@@ -74,7 +79,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     * ``audit`` = (load_date, upd_date) column names stamped with ``as_of``.
     * A key that ``source`` holds twice is an error when the result is computed
       (as ``ON CONFLICT`` raises); keys with a NULL never conflict. The count
-      shares the join's shuffle.
+      shares the join's shuffle; ``unique_source`` leaves it out, for a caller
+      that has just ranked ``source`` to one row a key.
     * ``partition_cols`` (a subset of ``keys``, e.g. season_year): only target
       partitions the source touches take part, and the result holds only
       those partitions — write it with dynamic partition overwrite
@@ -93,11 +99,12 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     tcols = [x for x in target.columns if x not in keys]
     scols = [x for x in source.columns if x not in keys]
     t = target.select(*keys, *[c(x).alias(f"t__{x}") for x in tcols], F.lit(True).alias("__in_t"))
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    repeated = copies > 1
-    for k in keys:
-        repeated = repeated & c(k).isNotNull()
-    in_source = F.when(repeated, F.raise_error(F.lit(f"merge source repeats a key of {keys}")).cast("boolean")).otherwise(True)
+    in_source = F.lit(True)
+    if not unique_source:
+        repeated = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        for k in keys:
+            repeated = repeated & c(k).isNotNull()
+        in_source = F.when(repeated, F.raise_error(F.lit(f"merge source repeats a key of {keys}")).cast("boolean")).otherwise(True)
     s = source.select(*keys, *[c(x).alias(f"s__{x}") for x in scols], in_source.alias("__in_s"))
     j = t.join(s, keys, "full")
     in_t = c("__in_t").isNotNull()
@@ -197,7 +204,7 @@ def merge_teams(target: DataFrame, stg_flagged: DataFrame, as_of,
                                               else (t("venue_id") != s("venue_id")))
         return e | F.coalesce(venue, F.lit(False))
 
-    return merge_upsert(target, d, ["team_id"], cols, as_of, when=changed,
+    return merge_upsert(target, d, ["team_id"], cols, as_of, when=changed, unique_source=True,
                         update_exprs={"venue_id": lambda t, s: F.coalesce(s("venue_id"), t("venue_id"))})
 
 
@@ -205,7 +212,7 @@ def merge_teams(target: DataFrame, stg_flagged: DataFrame, as_of,
 def merge_players(target: DataFrame, stg_flagged: DataFrame, as_of, cols: Sequence[str],
                   stg_id: str = "stg_player_id") -> MergeResult:
     d = latest_by(stg_flagged.where(c("is_valid")), ["player_id"], [c(stg_id).desc()]).select("player_id", *cols)
-    return merge_upsert(target, d, ["player_id"], list(cols), as_of)
+    return merge_upsert(target, d, ["player_id"], list(cols), as_of, unique_source=True)
 
 
 # M04 -----------------------------------------------------------------------------
@@ -232,21 +239,25 @@ def event_keys(df: DataFrame) -> DataFrame:
 
 
 def merge_match_events(target: DataFrame, stg_flagged: DataFrame, players: DataFrame, as_of,
-                       order: Sequence[Column]):
+                       order: Sequence[Column], first_id: int | None = None):
     """Latest staging row per natural key (detail not in the key); placeholder
     players for unknown player / assist ids; on conflict only detail,
     comments and upd_date change; every matched row counts as touched.
-    ``target`` must carry ``event_id``; new rows get a deterministic id hashed
-    from the natural key. Returns (MergeResult, placeholder player rows)."""
+    ``target`` must carry ``event_id``. Each source row draws the next number
+    in key order from ``first_id`` (default: after the target's greatest), as a
+    sequence does, and an inserted row keeps it: unique, and the same in every
+    run. Returns (MergeResult, placeholder player rows)."""
     cols = ["minute_extra", "player_id", "assist_player_id", "event_detail", "comments"]
     valid = event_keys(stg_flagged.where(c("is_valid")))
     d = latest_by(valid, EVENT_KEY, [o.desc() for o in order]).select(*EVENT_KEY, *cols)
+    if first_id is None:
+        first_id = 1 + (target.agg(F.max("event_id")).first()[0] or 0)
+    d = numbered(d, EVENT_KEY, "event_id", first_id)
     ids = (d.select(c("player_id").alias("player_id"))
            .unionByName(d.select(c("assist_player_id").alias("player_id"))))
     new_players = placeholders(ids, players, "player_id", PLAYER_PLACEHOLDER)
     tgt = event_keys(target)
-    d = d.withColumn("event_id", F.xxhash64(*[c(k) for k in EVENT_KEY]))
-    res = merge_upsert(tgt, d, EVENT_KEY, ["event_detail", "comments"], as_of, when="always")
+    res = merge_upsert(tgt, d, EVENT_KEY, ["event_detail", "comments"], as_of, when="always", unique_source=True)
     return MergeResult(res.merged.drop("k_extra", "k_player"), ["event_id"]), new_players
 
 
@@ -337,7 +348,7 @@ def merge_player_season_stats(target: DataFrame, stg_flagged: DataFrame, as_of,
     v = stg_flagged.where(c("is_valid"))
     stat_cols = [x for x in target.columns if x not in PSS_KEY + ["load_date", "upd_date"]]
     d = latest_by(v, PSS_KEY, [o.desc() for o in order]).select(*PSS_KEY, *stat_cols)
-    return merge_upsert(target, d, PSS_KEY, stat_cols, as_of, when="always")
+    return merge_upsert(target, d, PSS_KEY, stat_cols, as_of, when="always", unique_source=True)
 
 
 # M10 -----------------------------------------------------------------------------
@@ -349,14 +360,14 @@ def merge_news(target: DataFrame, stg_flagged: DataFrame, as_of, tab_order: Sequ
     # one tab may list an article twice: its later staging row wins
     later = [c("stg_order").desc()] if "stg_order" in v.columns else []
     d = latest_by(v, ["article_id"], [c("__tab_rank").desc(), *later]).select("article_id", *cols)
-    return merge_upsert(target, d, ["article_id"], cols, as_of)
+    return merge_upsert(target, d, ["article_id"], cols, as_of, unique_source=True)
 
 
 # M11 -----------------------------------------------------------------------------
 def merge_team_bridge(target: DataFrame, source: DataFrame, as_of) -> MergeResult:
     keys = ["team_id", "league_id", "season_year"]
     d = source.select(*keys).where(c("team_id").isNotNull()).distinct()
-    return merge_upsert(target, d, keys, [], as_of, when="always")
+    return merge_upsert(target, d, keys, [], as_of, when="always", unique_source=True)
 
 
 # M12 -----------------------------------------------------------------------------
@@ -370,7 +381,7 @@ def merge_leagues(target: DataFrame, source: DataFrame, as_of) -> MergeResult:
     """One row per league (last season year wins); update if the tuple differs."""
     d = latest_by(source, ["league_id"], [c("season_year").desc()]).drop("season_year")
     cols = [x for x in d.columns if x != "league_id"]
-    return merge_upsert(target, d, ["league_id"], cols, as_of)
+    return merge_upsert(target, d, ["league_id"], cols, as_of, unique_source=True)
 
 
 def merge_league_seasons(target: DataFrame, source: DataFrame, as_of, always: bool = False) -> MergeResult:
@@ -395,17 +406,19 @@ def merge_league_seasons(target: DataFrame, source: DataFrame, as_of, always: bo
 def fill_venue_geo(target: DataFrame, fills: DataFrame, as_of):
     """Fill name/city/country by coalesce(new, old) only on venues whose city or
     country is NULL; never inserts. ``fills`` must be unique per venue_id.
-    Returns the new venues table (rows filled get ``upd_date = as_of``)."""
+    Returns the new venues table (rows filled get ``upd_date = as_of``) and a
+    row with their number (``filled``)."""
     f = fills.select("venue_id", F.lit(True).alias("__has_fill"),
                      *[c(x).alias(f"f__{x}") for x in ("venue_name", "city", "country")])
     j = target.join(f, "venue_id", "left")
     hit = c("__has_fill").isNotNull() & (c("city").isNull() | c("country").isNull())
     out = j.withColumn("__filled", hit)
+    count = out.agg(F.count_if("__filled").alias("filled"))
     for x in ("venue_name", "city", "country"):
         out = out.withColumn(x, F.when(c("__filled"), F.coalesce(c(f"f__{x}"), c(x))).otherwise(c(x)))
     if "upd_date" in target.columns:
         out = out.withColumn("upd_date", F.when(c("__filled"), ts(as_of)).otherwise(c("upd_date")))
-    return out.drop("f__venue_name", "f__city", "f__country", "__has_fill", "__filled")
+    return out.drop("f__venue_name", "f__city", "f__country", "__has_fill", "__filled"), count
 
 
 # M16 -----------------------------------------------------------------------------

@@ -21,9 +21,9 @@ Rule kinds:
 * :class:`Duplicate`  — key groups among a population (valid rows or all
   rows). Either every copy fails (``keep=None``) or all but the one with the
   smallest / largest ``order`` struct. Implemented as a grouped aggregate
-  (partial aggregation before the shuffle) joined back on the key, so a hot
-  key does not end up in one window partition; AQE splits skewed join
-  partitions.
+  (partial aggregation before the shuffle) looked up by the key
+  (``functions.joins.lookup``): null keys, rows outside the population and
+  keys with very many rows meet no group of a shuffle.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.joins import bounded_broadcast, stored_side
+from touchline.functions.joins import bounded_broadcast, is_small, lookup
 
 FIRST_FAILURE = "first_failure"
 ACCUMULATE = "accumulate"
@@ -99,7 +99,7 @@ def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
     a string joins them with ``concat_ws(sep, ...)``. ``start_valid`` /
     ``start_reason`` carry flags set upstream (e.g. unreadable documents).
     ``stage_sides=True`` stores duplicate groups and fact reference keys as
-    tables (``functions.joins.stored_side``): computed once, broadcast when
+    tables (``functions.joins.lookup``): computed once, broadcast when
     they turn out small, so the large staging side is not shuffled — the
     choice for full-size staging tables (the jobs use it). ``False`` keeps one
     lazy plan and leaves join choices to AQE, cheaper for small inputs.
@@ -117,18 +117,16 @@ def validate(df: DataFrame, rules: Sequence, mode: str = FIRST_FAILURE,
             fired = F.coalesce(rule.predicate, F.lit(False))
             out = out.withColumn(hit_name, eligible & fired)
         elif isinstance(rule, ForeignKey):
-            ref_keys = (rule.ref.select(F.col(rule.ref_column).alias(f"__fk_{i}"))
-                        .where(F.col(f"__fk_{i}").isNotNull()).distinct()
-                        .withColumn(f"__fk_ok_{i}", F.lit(True)))
-            if rule.dimension:
-                ref_keys = bounded_broadcast(ref_keys)
-            elif stage_sides:
-                ref_keys = stored_side(ref_keys)
             local = F.col(rule.column) if isinstance(rule.column, str) else rule.column
-            out = (out.withColumn(f"__fk_l_{i}", local)
-                   .join(ref_keys, F.col(f"__fk_l_{i}") == F.col(f"__fk_{i}"), "left")
-                   .withColumn(hit_name, eligible & F.col(f"__fk_ok_{i}").isNull())
-                   .drop(f"__fk_{i}", f"__fk_ok_{i}", f"__fk_l_{i}"))
+            name = f"__fk_{i}"
+            ref_keys = (rule.ref.select(F.col(rule.ref_column).alias(name)).where(F.col(name).isNotNull()).distinct()
+                        .withColumn(f"__fk_ok_{i}", F.lit(True)))
+            out = out.withColumn(name, local)
+            if rule.dimension and is_small(ref_keys):
+                out = out.join(F.broadcast(ref_keys), name, "left")
+            else:
+                out = lookup(out, ref_keys, [name], F.lit(True), staged=stage_sides)
+            out = out.withColumn(hit_name, eligible & F.col(f"__fk_ok_{i}").isNull()).drop(name, f"__fk_ok_{i}")
         elif isinstance(rule, Duplicate):
             out = _apply_duplicate(out, rule, i, hit_name, eligible, stage_sides)
         else:
@@ -163,22 +161,10 @@ def _apply_duplicate(out: DataFrame, rule: Duplicate, i: int, hit_name: str,
     elif rule.keep == "max":
         aggs.append(F.max(f"__do_{i}").alias(f"__dkeep_{i}"))
     groups = pop.groupBy(*key_names).agg(*aggs).where(F.col(f"__dn_{i}") > 1)
-    if stage_sides:
-        # Usually few keys repeat: store the groups, broadcast them if small.
-        groups = stored_side(groups)
-    # Tag population membership so only members of a group can be hit.
+    # Tag population membership so only members of a group can be hit; other rows, and null
+    # keys, meet no group of the join.
     out = out.withColumn(f"__dpop_{i}", population)
-    if rule.require_keys:
-        joined = out.join(groups, key_names, "left")
-    else:
-        # NULL keys form one group (PARTITION BY semantics): null-safe join.
-        g = groups.select(*[F.col(n).alias(n + "_g") for n in key_names],
-                          *[x for x in groups.columns if x not in key_names])
-        cond = None
-        for n in key_names:
-            e = F.col(n).eqNullSafe(F.col(n + "_g"))
-            cond = e if cond is None else cond & e
-        joined = out.join(g, cond, "left").drop(*[n + "_g" for n in key_names])
+    joined = lookup(out, groups, key_names, F.col(f"__dpop_{i}"), null_safe=not rule.require_keys, staged=stage_sides)
     in_group = F.col(f"__dpop_{i}") & F.col(f"__dn_{i}").isNotNull()
     if rule.keep is None:
         fired = in_group
@@ -242,7 +228,7 @@ def check_fixtures(stg: DataFrame, teams: DataFrame, stage_sides: bool = False)
 
 def check_match_events(stg: DataFrame, fixtures: DataFrame, teams: DataFrame,
                        order: Sequence[Column], id_col: Column | None = None,
-                       strict_nulls: bool = False, stage_sides: bool = False) -> Validation:
+                       strict_nulls: bool = False, stage_sides: bool = True) -> Validation:
     """V02 — four rules, first failure. ``order`` is the staging order
     (surrogate id) used to keep the first of duplicates."""
     type_pred = ~F.lower(c("event_type")).isin("goal", "card", "subst", "var")
@@ -283,11 +269,9 @@ def _validate_events(stg: DataFrame, rules, stage_sides: bool = False) -> Valida
     fk = rules[0]
     fx = (fk.fixtures.select(c("fixture_id").alias("__fx")).where(c("__fx").isNotNull()).distinct()
           .withColumn("__fx_ok", F.lit(True)))
-    if stage_sides:
-        fx = stored_side(fx)
     tm = bounded_broadcast(fk.teams.select(c("team_id").alias("__tm")).where(c("__tm").isNotNull()).distinct()
                            .withColumn("__tm_ok", F.lit(True)))
-    pre = (stg.join(fx, stg["fixture_id"] == fx["__fx"], "left")
+    pre = (lookup(stg.withColumn("__fx", c("fixture_id")), fx, ["__fx"], F.lit(True), staged=stage_sides)
            .join(tm, c("team_id") == c("__tm"), "left")
            .withColumn("__fk_missing", c("__fx_ok").isNull() | c("__tm_ok").isNull())
            .drop("__fx", "__fx_ok", "__tm", "__tm_ok"))
@@ -365,26 +349,27 @@ def saves_exceed_opponent_shots(flagged_stats: DataFrame) -> DataFrame:
     team. Per fixture only the two smallest per-team minima are needed, so the
     work is linear in the rows even if one fixture holds many rows.
     """
-    from touchline.functions.windows import top_n_per_group
     v = flagged_stats.where(c("is_valid") & c("team_id").isNotNull())
     per_team = v.groupBy("fixture_id", "team_id").agg(
         F.max("goalkeeper_saves").alias("ms"), F.min("shots_on_goal").alias("mg"))
-    # Two smallest per-team minima per fixture (distinct teams): a partial
-    # top-2 before the shuffle, then one row per fixture.
-    two = top_n_per_group(per_team.where(c("mg").isNotNull()), ["fixture_id"], [c("mg"), c("team_id")], 2,
-                          rank_col="r")
-    lows = two.groupBy("fixture_id").agg(
-        F.max(F.when(c("r") == 1, c("mg"))).alias("g1"), F.max(F.when(c("r") == 1, c("team_id"))).alias("t1"),
-        F.max(F.when(c("r") == 2, c("mg"))).alias("g2"))
-    t = per_team.join(lows, "fixture_id", "left")
+    # One row per team and fixture now, so the windows hold a fixture's teams only: the
+    # team with the fewest shots, its shots, and the fewest of the others.
+    fixture = Window.partitionBy("fixture_id")
+    t = (per_team.withColumn("t1", F.min_by("team_id", F.when(c("mg").isNotNull(), F.struct("mg", "team_id"))).over(fixture))
+         .withColumn("g1", F.min("mg").over(fixture))
+         .withColumn("g2", F.min(F.when(c("team_id") != c("t1"), c("mg"))).over(fixture)))
     other_min = F.when(c("team_id") == c("t1"), c("g2")).otherwise(c("g1"))
-    return (t.where(c("ms") > other_min)
-            .agg(F.count_distinct("fixture_id").alias("dq_saves_gt_opponent_sog")))
+    return (t.where(c("ms") > other_min).groupBy("fixture_id").agg(F.lit(1).alias("__one"))
+            .agg(F.count(F.lit(1)).alias("dq_saves_gt_opponent_sog")))
 
 
-def check_players(stg: DataFrame, as_of, stg_id: str = "stg_player_id", stage_sides: bool = False) -> Validation:
-    """V04 — names normalised (trim -> NULL), five rules, first failure."""
+def check_players(stg: DataFrame, as_of, stg_id: str = "stg_player_id", stage_sides: bool = False,
+                  since=None) -> Validation:
+    """V04 — names normalised (trim -> NULL), five rules, first failure.
+    ``since``: rows loaded before it (``load_timestamp``) stay out of the check and its result."""
     from touchline.functions.scalars import blank_to_null, digits_int
+    if since is not None:
+        stg = stg.where(c("load_timestamp") >= F.lit(str(since)).cast("timestamp_ntz"))
     norm = (stg.withColumn("firstname", blank_to_null("firstname"))
             .withColumn("lastname", blank_to_null("lastname"))
             .withColumn("full_name", blank_to_null("full_name"))

@@ -18,6 +18,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.functions.joins import bounded_broadcast
+from touchline.sources.versions import succeeded
 
 # Base tables the views join to the large ones (orders, lineitem).
 CHECKED_BROADCAST = ("region", "nation", "customer", "supplier")
@@ -110,7 +111,7 @@ select l_orderkey*10 + l_linenumber as ord1, l_partkey as ord2, l_suppkey as ord
        else cast(l_quantity as int)*2 - (cast(l_quantity as int)*2) % 30 end as minute,
   case when l_linenumber = 7 then cast(l_suppkey % 50 as int) end as minute_extra,
   cast(l_suppkey % 2 as int) as team_id, cast(l_partkey % 2 as int) as player_id,
-  case when l_returnflag = 'A' then cast(l_suppkey as int) end as assist_player_id,
+  case when l_returnflag = 'A' then cast(case when l_suppkey % 17 = 0 then -l_suppkey else l_suppkey end as int) end as assist_player_id,
   case when l_partkey % 67 = 0 then 'Shot' when l_returnflag = 'A' then 'Goal' when l_returnflag = 'N' then 'Card' else 'subst' end as event_type,
   case when l_returnflag = 'N' then case when l_linestatus = 'F' then 'Yellow Card' else 'Red Card' end
        when l_returnflag = 'A' then 'Normal Goal' else 'Substitution 1' end as event_detail from lineitem
@@ -258,11 +259,8 @@ class Bound:
         return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/touchline-bound/{key}/{name}"
 
     def _read_stored(self, name: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-        try:
-            return self.spark.read.parquet(self._stored_path(name))
-        except AnalysisException:
-            return None
+        path = self._stored_path(name)
+        return self.spark.read.parquet(path) if succeeded(self.spark, path) else None
 
     def _stored(self, name: str) -> DataFrame:
         with _STORE_LOCK:

@@ -242,7 +242,9 @@ where rn = 1
 """
 EVENTS_SRC = f"""
 select fixture_id, minute, coalesce(minute_extra, 0) as k_extra, team_id, coalesce(player_id, 0) as k_player,
-  event_type, minute_extra, player_id, assist_player_id, event_detail, cast(null as varchar) as comments from (
+  event_type, minute_extra, player_id, assist_player_id, event_detail, cast(null as varchar) as comments,
+  (select max(event_id) from ({EVENTS_TARGET.replace("as string)", "as varchar)")}) t) + row_number() over (
+    order by fixture_id, minute, coalesce(minute_extra, 0), team_id, coalesce(player_id, 0), event_type nulls first) as event_id from (
   select e.*, row_number() over (partition by e.fixture_id, e.minute, coalesce(e.minute_extra, 0), e.team_id,
                                               coalesce(e.player_id, 0), e.event_type
                                  order by e.ord1 desc, e.ord2 desc, e.ord3 desc, e.ord4 desc) as rn
@@ -252,15 +254,15 @@ select fixture_id, minute, coalesce(minute_extra, 0) as k_extra, team_id, coales
 where rn = 1
 """
 _EV_TGT_ORACLE = f"""
-select fixture_id, minute, coalesce(minute_extra, 0) as k_extra, team_id, coalesce(player_id, 0) as k_player,
+select event_id, fixture_id, minute, coalesce(minute_extra, 0) as k_extra, team_id, coalesce(player_id, 0) as k_player,
   event_type, minute_extra, player_id, assist_player_id, event_detail, comments,
   timestamp '{OLD}' as load_date, timestamp '{OLD}' as upd_date
 from ({EVENTS_TARGET.replace("as string)", "as varchar)")}) t
 """
 _EV_MERGE_ORACLE = upsert_oracle(
     EVENTS_SRC, _EV_TGT_ORACLE, M.EVENT_KEY, ["event_detail", "comments"],
-    tcols_extra=["minute_extra", "player_id", "assist_player_id"],
-    src_extra=["minute_extra", "player_id", "assist_player_id"], when="always")
+    tcols_extra=["event_id", "minute_extra", "player_id", "assist_player_id"],
+    src_extra=["event_id", "minute_extra", "player_id", "assist_player_id"], when="always")
 
 
 def _merge_events(b):
@@ -272,11 +274,11 @@ def _merge_events(b):
 
 
 @bound_query("merge_match_events", f"""
-select fixture_id, minute, team_id, event_type, minute_extra, player_id, assist_player_id, event_detail, comments,
+select event_id, fixture_id, minute, team_id, event_type, minute_extra, player_id, assist_player_id, event_detail, comments,
   load_date, upd_date, action from ({_EV_MERGE_ORACLE}) m
 """)
 def q_merge_match_events(b):
-    return _merge_events(b)[0].merged.drop("event_id")
+    return _merge_events(b)[0].merged
 
 
 @bound_query("event_placeholder_players", f"""
@@ -532,7 +534,7 @@ from j
 """)
 def q_fill_venue_geo(b):
     tgt = M.with_audit(b.v_venues.select("venue_id", "venue_name", "city", "country"), OLD)
-    return M.fill_venue_geo(tgt, b.sql(VENUE_FILLS), AS_OF)
+    return M.fill_venue_geo(tgt, b.sql(VENUE_FILLS), AS_OF)[0]
 
 
 # M16 ---------------------------------------------------------------------------

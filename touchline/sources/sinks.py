@@ -18,15 +18,16 @@ c = F.col
 
 # K01 / K02 -----------------------------------------------------------------------
 def write_staging(df: DataFrame, path: str, mode: str = "overwrite", as_of=None) -> None:
-    """Truncate-and-load (``overwrite``) or ``append`` with the audit defaults."""
+    """Truncate-and-load (``overwrite``) or ``append`` with the audit defaults; the load time is ``as_of``, never the clock."""
     out = df
     if "is_valid" not in out.columns:
         out = out.withColumn("is_valid", F.lit(True))
     if "error_reason" not in out.columns:
         out = out.withColumn("error_reason", F.lit(None).cast("string"))
     if "load_timestamp" not in out.columns:
-        ts = F.lit(str(as_of)).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
-        out = out.withColumn("load_timestamp", ts)
+        if as_of is None:
+            raise ValueError("staging rows without load_timestamp need as_of")
+        out = out.withColumn("load_timestamp", F.lit(str(as_of)).cast("timestamp_ntz"))
     out.write.mode(mode).parquet(path)
 
 
@@ -39,8 +40,10 @@ def append_errors(log: DataFrame | None, rejects: DataFrame, as_of, dedupe: bool
     if dedupe:
         r = r.dropDuplicates(["staging_table", "record_key", "error_reason"])
         if log is not None:
-            r = r.join(log.select("staging_table", "record_key", "error_reason"),
-                       ["staging_table", "record_key", "error_reason"], "left_anti")
+            # rejects are few, the log is a history: its rows of other tables and keys stay out of the join
+            known = (log.join(r.select("staging_table").distinct(), "staging_table", "left_semi")
+                     .select("staging_table", "record_key", "error_reason"))
+            r = r.join(known, ["staging_table", "record_key", "error_reason"], "left_anti")
     return r
 
 
