@@ -206,3 +206,33 @@ def test_flatten_seasons_meta(spark, tmp_path):
                                                              "is_enabled boolean")
     rows = sorted((r.season_year, r.is_current, r.season_str) for r in FL.flatten_seasons(docs, catalog).collect())
     assert rows == [(2022, False, "2022_23"), (2023, True, "2023_24")]
+
+
+def test_many_small_files_are_read_in_tasks(spark, tmp_path):
+    """The listing is dealt out: nothing but counts reaches the driver."""
+    import json
+    from touchline import schemas as SC
+    root = tmp_path / "many"
+    for d in range(20):
+        (root / f"d{d}").mkdir(parents=True)
+        for i in range(300):
+            (root / f"d{d}" / f"f {i}.json").write_text(json.dumps({"response": [{"fixture": {"id": d * 300 + i}}]}) if i else "{broken")
+    files = SN.list_files(spark, str(root))
+    docs = SN.read_snapshots(spark, files, SC.FIXTURES, on_bad="error_row")
+    assert docs.rdd.getNumPartitions() >= 3
+    assert docs.where("is_valid").count() == 20 * 299 and docs.where("not is_valid").count() == 20
+    ids = docs.where("is_valid").selectExpr("doc.response[0].fixture.id as id").agg({"id": "sum"}).first()[0]
+    assert ids == sum(d * 300 + i for d in range(20) for i in range(1, 300))
+
+
+def test_tree_reader_agrees_with_task_reader(spark, tmp_path):
+    for name in ("a/x.json", "a/b/y.json", "c/z ü%20.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    files = SN.list_files(spark, str(tmp_path))
+    some = files.where("file_path not like '%y.json'")
+    for part in (files, some, files.where("file_path like '%z%'"), files.limit(0)):
+        want = sorted((r.file_path, bytes(r.content)) for r in SN.read_files(part).collect())
+        assert sorted((r.file_path, bytes(r.content)) for r in SN.read_tree(spark, part).collect()) == want
+    gone = SN.read_files(spark.createDataFrame([(str(tmp_path / "gone.json"),)], "file_path string")).collect()
+    assert gone[0].content is None

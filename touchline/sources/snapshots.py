@@ -3,7 +3,7 @@
 File selection runs on the *listing* (``binaryFile`` with only the path
 column selected, so no content is read), as DataFrame work: stamps are
 parsed with ``regexp_extract`` / ``to_timestamp``, the newest per group is a
-grouped ``max`` joined back. Only the chosen paths are then parsed, with an
+rank. Only the chosen files are then read, in the tasks their paths are dealt to, and parsed with an
 explicit schema (never inferred). Each snapshot file is one JSON document of
 one API page, read whole (``wholetext``) so malformed documents can be
 detected and handled by policy.
@@ -11,9 +11,12 @@ detected and handled by policy.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,6 +54,66 @@ def with_path_parts(files: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 # S01 / S09 -------------------------------------------------------------------------
+TASK_FILES, TASK_BYTES = 2000, 64 << 20      # that one reading task aims at
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """(file_path, content) of a listing's files, read in the tasks that hold their paths.
+
+    The listing is dealt out and never reaches the driver. A file that has
+    gone since it was listed gives ``content = NULL``; any other error fails the task.
+    ``paths`` may carry ``size``. File systems that only Spark's readers know
+    (``viewfs:``, say) are read by ``read_tree``.
+    """
+    known = paths.select("file_path", *(["size"] if "size" in paths.columns else [])).dropDuplicates(["file_path"])
+    size = F.sum("size") if "size" in paths.columns else F.lit(0)
+    seen = known.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    tasks = max(1, -(-seen.n // TASK_FILES), -(-int(seen.b or 0) // TASK_BYTES))
+
+    def read(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            # a few files at a time, so that a batch of contents stays small
+            for at in range(0, len(names), 16):
+                some = names[at:at + 16]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([_content(p) for p in some], pa.binary())],
+                                                 ["file_path", "content"])
+
+    return known.select("file_path").repartition(tasks, "file_path").mapInArrow(read, "file_path string, content binary")
+
+
+def _content(path: str) -> bytes | None:
+    """The bytes of a file; None if there is none."""
+    from pyarrow import fs
+    try:
+        if path.startswith("file:") or path.startswith("/"):
+            # Spark spells local paths 'file:/x', decoded
+            filesystem, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            filesystem, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            inner = unquote(inner)
+        with filesystem.open_input_stream(inner, compression=None) as stream:
+            return stream.read()
+    except FileNotFoundError:
+        return None
+
+
+_TASK_SCHEMES = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def read_tree(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(file_path, content) by Spark's own reader: the tree that holds the listing is read once and
+    semi-joined with it. Two paths tell the tree: what the smallest and the greatest have in common, all have."""
+    ends = paths.agg(F.min("file_path").alias("low"), F.max("file_path").alias("high")).first()
+    if ends.low is None:
+        return spark.createDataFrame([], "file_path string, content binary")
+    common = os.path.commonprefix([ends.low, ends.high])
+    root = ends.low if common == ends.low == ends.high else common[:common.rindex("/") + 1]
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+             .select(c("path").alias("file_path"), "content"))
+    return files.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+
+
 def read_snapshots(spark: SparkSession, paths: DataFrame | Sequence[str], schema: StructType,
                    on_bad: str = "skip") -> DataFrame:
     """Parse whole-file JSON documents with ``schema``.
@@ -59,23 +122,18 @@ def read_snapshots(spark: SparkSession, paths: DataFrame | Sequence[str], schema
     ``on_bad``: ``skip`` drops unreadable documents, ``error_row`` keeps one
     row with ``doc = NULL``, ``is_valid = false`` and the reason, ``missing``
     keeps them as a NULL document (treated as absent downstream).
-    Output: file_path, doc (struct), is_valid, error_reason.
+    Output: file_path, doc (struct), is_valid, error_reason. The listing stays
+    distributed (``read_files``; ``read_tree`` for schemes that only Spark reads).
     """
     if on_bad not in ("skip", "error_row", "missing"):
         raise ValueError(on_bad)
-    if isinstance(paths, DataFrame):
-        # The listing is small (one row per file); the driver only sees paths.
-        plist = [r.file_path for r in paths.select("file_path").distinct().collect()]
-    else:
-        plist = list(paths)
-    if not plist:
-        empty = spark.createDataFrame([], "file_path string, value string")
-        raw = empty
-    else:
-        # The listing's source spells paths alike (``_metadata`` would encode blanks and marks).
-        raw = (spark.read.format("binaryFile").load(plist)
-               .select(c("path").alias("file_path"), c("content").cast("string").alias("value")))
-    ok = F.try_parse_json(c("value")).isNotNull() & (F.trim(c("value")) != "")
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    foreign = ~c("file_path").startswith("/") & ~F.regexp_extract("file_path", "^([a-z0-9]+):", 1).isin(*_TASK_SCHEMES)
+    by_spark = paths.where(foreign).limit(1).count() > 0
+    content = read_tree(spark, paths) if by_spark else read_files(paths)
+    raw = content.select("file_path", c("content").cast("string").alias("value"))
+    ok = F.coalesce(F.try_parse_json(c("value")).isNotNull() & (F.trim(c("value")) != ""), F.lit(False))
     parsed = raw.select("file_path", ok.alias("__ok"),
                         F.when(ok, F.from_json(c("value"), schema)).alias("doc"))
     reason = F.lit("exception: JSONDecodeError: malformed document")
@@ -140,10 +198,9 @@ def baseline_plus_inc(files: DataFrame, by: Sequence[str], mode: str = "baseline
          .withColumn("inc_ts", F.when(inc_s != "", F.try_to_timestamp(inc_s, F.lit("yyyyMMdd'T'HHmm")))))
     if mode == "inc":
         return newest(f, by, "inc_ts").drop("full_ts", "inc_ts"), files.select(*by).limit(0)
-    base = f.where(c("full_ts").isNotNull()).groupBy(*by).agg(F.max("full_ts").alias("base_ts"))
-    g = f.join(base, list(by), "inner")
+    g = f.dropna(subset=list(by)).withColumn("base_ts", F.max("full_ts").over(Window.partitionBy(*by)))
     chosen = g.where((c("full_ts") == c("base_ts")) | (c("inc_ts") > c("base_ts")))
-    missing = f.select(*by).distinct().join(base.select(*by), list(by), "left_anti")
+    missing = f.groupBy(*by).agg(F.count("full_ts").alias("__n")).where("__n = 0").drop("__n")
     return chosen.drop("full_ts", "inc_ts", "base_ts"), missing
 
 
@@ -159,33 +216,16 @@ def latest_batch(files: DataFrame) -> DataFrame:
     f = files.select("file_path", run.alias("run_ts"), tab.alias("tab_dir"), name.alias("name")) \
              .where(c("run_ts") != "")
     resp = f.where(c("name") == "response.json")
-    newest = resp.groupBy("tab_dir").agg(F.max("run_ts").alias("run_ts"))
-    chosen = resp.join(newest, ["tab_dir", "run_ts"], "left_semi")
+    chosen = newest(resp, ["tab_dir"], "run_ts")
     return chosen.select("tab_dir", "run_ts", c("file_path").alias("response_path"),
                          F.regexp_replace(c("file_path"), "response\\.json$", "_meta.json").alias("meta_path"))
 
 
 def read_small_files(paths: DataFrame, path_col: str = "file_path") -> DataFrame:
-    """(path, text) for each path, read inside the tasks with pyarrow's file
-    systems. Used for sidecar files Spark's file sources skip (names starting
-    with ``_``, e.g. ``_meta.json``); a missing file gives ``text = NULL``.
-    Only for small files: each one is read whole into one row."""
-    def read(batches):
-        import pandas as pd
-        from pyarrow import fs as pafs
-        for pdf in batches:
-            texts = []
-            for p in pdf[path_col]:
-                # Spark writes local paths as 'file:/x'; pyarrow wants 'file:///x'.
-                uri = "file:///" + p[len("file:"):].lstrip("/") if p.startswith("file:") else p
-                try:
-                    filesystem, inner = pafs.FileSystem.from_uri(uri)
-                    with filesystem.open_input_stream(inner) as fh:
-                        texts.append(fh.read().decode("utf-8"))
-                except FileNotFoundError:  # other errors (permission, network) fail the task
-                    texts.append(None)
-            yield pd.DataFrame({path_col: pdf[path_col], "text": texts})
-    return paths.select(path_col).distinct().mapInPandas(read, f"{path_col} string, text string")
+    """(path, text) for each path: sidecar files Spark's sources skip (names starting
+    with ``_``, e.g. ``_meta.json``); a missing file gives ``text = NULL``."""
+    read = read_files(paths.select(c(path_col).alias("file_path")))
+    return read.select(c("file_path").alias(path_col), c("content").cast("string").alias("text"))
 
 
 # S07 -------------------------------------------------------------------------------
@@ -195,8 +235,7 @@ def roster_player_ids(spark: SparkSession, files: DataFrame, by: Sequence[str] =
     from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField
     run = F.regexp_extract(c("file_path"), r"run_(\d{4}-\d{2}-\d{2})/", 1)
     f = files.withColumn("run", run).where(c("run") != "")
-    newest = f.groupBy(*by).agg(F.max("run").alias("run"))
-    chosen = f.join(newest, [*by, "run"], "left_semi")
+    chosen = newest(f, list(by), "run")
     schema = StructType([StructField("teams", MapType(StringType(), ArrayType(IntegerType())))])
     docs = read_snapshots(spark, chosen, schema)
     docs = docs.join(chosen.select("file_path", *by), "file_path")
@@ -209,8 +248,7 @@ def roster_player_ids(spark: SparkSession, files: DataFrame, by: Sequence[str] =
 def changed_blobs(ledger: DataFrame, load_col: str = "teams_load_date") -> DataFrame:
     """Latest season per league whose blob was never loaded or was refreshed
     after the last load."""
-    newest = ledger.groupBy("league_id").agg(F.max("season_year").alias("season_year"))
-    latest = ledger.join(newest, ["league_id", "season_year"], "left_semi")
+    latest = newest(ledger, ["league_id"], "season_year")
     return latest.where(c(load_col).isNull() | (c(load_col) < c("upd_date")))
 
 
