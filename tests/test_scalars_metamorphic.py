@@ -47,9 +47,9 @@ def test_digits_blank_short_name(spark):
 
 
 def test_html_unescape_and_strip(spark):
-    assert _one(spark, S.html_unescape_fast(c("x")), value="Tom &amp; Jerry &lt;3") == "Tom & Jerry <3"
-    assert _one(spark, S.html_unescape_full(c("x")), value="caf&eacute; &#8212; &nbsp;x") == "café — \xa0x"
-    assert _one(spark, S.strip_html(c("x"), exact=True), value="<p> <b>Hi</b> &amp; bye </p>") == "Hi & bye"
+    assert _one(spark, S.html_unescape(c("x")), value="Tom &amp; Jerry &lt;3") == "Tom & Jerry <3"
+    assert _one(spark, S.html_unescape(c("x")), value="caf&eacute; &#8212; &nbsp;x") == "café — \xa0x"
+    assert _one(spark, S.strip_html(c("x")), value="<p> <b>Hi</b> &amp; bye </p>") == "Hi & bye"
     assert _one(spark, S.strip_html(c("x")), value="<p>  </p>") is None
 
 
@@ -170,3 +170,31 @@ def test_staged_join_sides_give_the_same_flags(spark):
     s1 = V.check_standings(b.v_stg_standings, b.v_teams, order=[c("stg_seq")]).flagged
     s2 = V.check_standings(b.v_stg_standings, b.v_teams, order=[c("stg_seq")], stage_sides=True).flagged
     assert s1.exceptAll(s2).count() == 0 and s2.exceptAll(s1).count() == 0
+
+
+def test_html_unescape_is_the_standard_librarys(spark):
+    import html
+    import random
+    from html.entities import html5
+    rng = random.Random(1)
+    texts = ["&" + n for n in html5] + ["&" + n.rstrip(";") + "x;" for n in html5]
+    texts += [f"&#{i};" for i in (0, 1, 9, 10, 13, 65, 127, 128, 129, 150, 159, 160, 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**30)]
+    texts += [f"&#x{i:x}" for i in (0, 0x80, 0x9F, 0x41, 0x1F600, 0x10FFFE, 10**20)]
+    texts += ["&#0000000000000065;", "&#x00000000000041z", "&#;", "&#x;", "&", "&&amp;amp;", "&amp;lt;", "a&b;c", "&notit;", "&ampx", "&" + "a" * 40 + ";", "", "&gt&lt"]
+    texts += ["".join(rng.choice(["&", "amp", "#", "x", "41", ";", "not", "in", "lt", "é", " ", "<", "1"]) for _ in range(rng.randint(1, 10))) for _ in range(1000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = df.select("t", S.html_unescape("t").alias("u")).collect()
+    assert [(r.t, r.u) for r in got if r.t is not None and r.u != html.unescape(r.t)] == []
+    assert [r.u for r in got if r.t is None] == [None]
+
+
+def test_tags_are_removed_in_linear_time(spark):
+    import re
+    import time
+    texts = ["<" * 10**6, "<a" * 400_000 + ">", "x<>y<b>z</b> 1 < 2 <", "<p> &lt;b&gt; </p>", "<", ">", "<>", "", "<<a>>", None]
+    t0 = time.perf_counter()
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.strip_html("t").alias("u")).collect()
+    assert time.perf_counter() - t0 < 30
+    import html
+    want = [None if t is None else html.unescape(re.sub(r"<[^>]+>", "", t) if len(t) < 1000 or ">" in t else t).strip(" ") or None for t in texts]
+    assert {r.i: r.u for r in got} == dict(enumerate(want))

@@ -71,9 +71,11 @@ def _left_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], null_safe:
 
 
 def _spread(rows: DataFrame) -> Column:
-    """A number of each row, for rows that no key shall gather."""
-    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
-    return (F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in plain]), F.lit(_SALTS)) + 1).cast("int")
+    """A number of each row, for rows that no key shall gather: of its own columns, not of flags and helpers, whose
+    expressions would be dragged into the key."""
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)
+             and f.name not in ("is_valid", "error_reason") and not f.name.startswith("__")]
+    return (F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in plain or rows.columns]), F.lit(_SALTS)) + 1).cast("int")
 
 
 def lookup(rows: DataFrame, side: DataFrame, keys: Sequence[str], member: Column, null_safe: bool = False,

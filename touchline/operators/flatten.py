@@ -278,7 +278,7 @@ def flatten_news(docs: DataFrame) -> DataFrame:
                     .otherwise(F.concat(missing, F.lit("; missing url")))).otherwise(missing)
     return r.select(
         c("r.id").alias("article_id"), "tab", c("r.webTitle").alias("title"),
-        S.strip_html(c("r.fields.trailText"), exact=True).alias("summary"),
+        S.strip_html(c("r.fields.trailText")).alias("summary"),
         c("r.fields.thumbnail").alias("image_url"), url.alias("url"),
         F.try_to_timestamp(c("r.webPublicationDate")).cast("timestamp_ntz").alias("published_at_utc"),
         "fetched_at_utc", F.to_json(c("r")).alias("raw"),

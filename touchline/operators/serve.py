@@ -29,8 +29,8 @@ c = F.col
 
 
 def clean_str(x) -> Column:
-    """HTML-unescape (XML entities) + trim; blank -> NULL."""
-    return S.blank_to_null(S.html_unescape_fast(x if isinstance(x, Column) else c(x)))
+    """HTML-unescape + trim; blank -> NULL."""
+    return S.blank_to_null(S.html_unescape(x if isinstance(x, Column) else c(x)))
 
 
 def _teams(teams: DataFrame, role: str, small: bool | None = None) -> DataFrame:
@@ -216,8 +216,8 @@ def match_timeline(events: DataFrame, players: DataFrame) -> DataFrame:
     return j.select(
         "fixture_id", "event_id", "minute", F.coalesce(c("minute_extra"), F.lit(0)).alias("minute_extra"),
         "team_id", S.event_type_ui(c("event_type"), c("event_detail")).alias("type"),
-        S.short_name(S.html_unescape_fast(c("actor"))).alias("player"),
-        S.short_name(S.html_unescape_fast(c("assistant"))).alias("assist"),
+        S.short_name(S.html_unescape(c("actor"))).alias("player"),
+        S.short_name(S.html_unescape(c("assistant"))).alias("assist"),
         clean_str(F.nullif(ed, F.lit(""))).alias("detail"))
 
 

@@ -42,7 +42,9 @@ select n_nationkey as team_id, n_name as team_name, n_regionkey as league_id,
 """
 
 VIEWS["v_venues"] = """
-select cast(s_suppkey as int) as venue_id, s_name as venue_name,
+select cast(s_suppkey as int) as venue_id,
+  case when s_suppkey % 3 = 0 then concat('Caf&eacute; ', s_name, ' &#8212; &notin; &amp;lt;') when s_suppkey % 3 = 1
+       then concat(s_name, ' &#x1F3DF;&ampx') else s_name end as venue_name,
   case when s_suppkey % 4 <> 0 then concat('City ', cast(s_nationkey as string)) end as city,
   case when s_suppkey % 6 <> 0 then concat('Country ', cast(s_nationkey % 5 as string)) end as country
 from supplier
@@ -50,7 +52,8 @@ from supplier
 
 VIEWS["v_players"] = """
 select cast(c_custkey as int) as player_id,
-  concat('First', cast(c_custkey % 9 as string), ' ', c_name) as full_name from customer
+  case when c_custkey % 2 = 0 then concat('&Eacute;', cast(c_custkey % 9 as string), ' ', c_name, '&rsquo;s&#233')
+       else concat('First', cast(c_custkey % 9 as string), ' ', c_name) end as full_name from customer
 """
 
 VIEWS["v_fixtures"] = """

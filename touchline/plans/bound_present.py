@@ -140,9 +140,23 @@ def q_timeline_phase_counts(b):
     return P.timeline_phase_counts(BS._timeline(b), b.v_fixtures)
 
 
-@bound_query("timeline_phases")
+@bound_query("timeline_phases", f"""
+with {_SUBS},
+t as (select subs.*, coalesce(sub_no, 0) as no, case when coalesce(minute, 0) < 46 then 'first' when coalesce(minute, 0) < 91 then 'second'
+                                  else 'extra' end as phase,
+        case when subs.team_id = f.home_team_id then 'home' else 'away' end as side
+      from subs join v_fixtures f on f.fixture_id = subs.fixture_id)
+select fixture_id, phase, minute, minute_extra, side,
+  cast(row_number() over (partition by fixture_id, phase, minute, minute_extra, side order by no, event_id) - 1 as integer) as pos,
+  cast(no as bigint) as sub_no, event_id, type, player, assist, detail
+from t
+""")
 def q_timeline_phases(b):
-    return P.timeline_phases(BS._timeline(b), b.v_fixtures)
+    """The rows' nested event lists, one row for each event with its side and place."""
+    rows = P.timeline_phases(BS._timeline(b), b.v_fixtures)
+    key = ["fixture_id", "phase", "minute", "minute_extra"]
+    sides = [rows.select(*key, F.lit(side).alias("side"), F.posexplode(side).alias("pos", "e")) for side in ("home", "away")]
+    return sides[0].unionByName(sides[1]).select(*key, "side", "pos", "e.*")
 
 
 @bound_query("event_text", f"""

@@ -248,3 +248,15 @@ select player_id, name, photo, 'squad' from sq where player_id not in (select pl
 """)
 def q_supplement_players(b):
     return FL.supplement_players(b.sql(PAGE_PLAYERS), b.sql(SQUAD_PLAYERS))
+
+
+# C05 / C06 -----------------------------------------------------------------------
+@bound_query("html_clean_pages", r"""
+select page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
+    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')), '') as text
+from pages
+""")
+def q_html_clean_pages(b):
+    """All pages' text; the oracle knows the references that occur in them by itself."""
+    from touchline.functions.scalars import strip_html
+    return b.pages.select("page_id", strip_html("html").alias("text"))
