@@ -34,7 +34,7 @@ def bound_query(name: str, oracle: str | None = None):
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from touchline.plans import (  # noqa: F401
-        bound_merge, bound_present, bound_scope, bound_serve, bound_sources, bound_validate)
+        bound_documents, bound_merge, bound_present, bound_scope, bound_serve, bound_sources, bound_validate)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
