@@ -63,6 +63,14 @@ def quick_find(day_matches: DataFrame, query: str | None) -> DataFrame:
                              | F.lower(c("league_name")).contains(qn))
 
 
+def matches_by_league(day_matches: DataFrame, query: str | None = None) -> DataFrame:
+    """One row per league name with a match of the day that ``quick_find`` leaves: its matches in kickoff order
+    (at most one day of one league) and their number."""
+    found = quick_find(day_matches, query)
+    match = F.struct("kickoff_utc", "id", *[x for x in found.columns if x not in ("kickoff_utc", "id", "league_name")])
+    return found.groupBy("league_name").agg(F.count(F.lit(1)).alias("n_matches"), F.array_sort(F.collect_list(match)).alias("matches"))
+
+
 # P04 -----------------------------------------------------------------------------
 def ticker(day_matches: DataFrame, n: int = 10) -> DataFrame:
     return day_matches.orderBy(c("kickoff_utc").asc_nulls_last(), c("id")).limit(n)

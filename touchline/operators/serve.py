@@ -143,11 +143,13 @@ def league_standings(standings: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 # Q09 -----------------------------------------------------------------------------
-def weekly_matches(fixtures: DataFrame, teams: DataFrame, start: str | None = None, days: int = 7) -> DataFrame:
-    """Every league's fixtures in [start, start + days); without ``start`` from this week's Monday."""
+def weekly_matches(fixtures: DataFrame, teams: DataFrame, start: str | None = None, days: int = 7, as_of: str | None = None) -> DataFrame:
+    """Every league's fixtures in [start, start + days); without ``start`` from the Monday of ``as_of``'s week."""
     if not 1 <= days <= 14:
         raise ValueError("days must be within 1..14")
-    first = F.lit(start).cast("date") if start else S.week_start_monday(F.current_date())
+    if not (start or as_of):
+        raise ValueError("start or as_of is needed")
+    first = F.lit(start).cast("date") if start else S.week_start_monday(F.lit(str(as_of)[:10]).cast("date"))
     s, e = first.cast("timestamp_ntz"), F.date_add(first, days).cast("timestamp_ntz")
     f = fixtures.where((c("fixture_date") >= s) & (c("fixture_date") < e))
     return (_team_sides(f, teams)

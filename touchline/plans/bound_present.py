@@ -67,6 +67,19 @@ def q_quick_find(b):
     return P.quick_find(day, "ICA")
 
 
+@bound_query("matches_by_league", f"""
+select league_name, row_number() over (partition by league_name order by kickoff_utc, id) - 1 as pos, id, home_name, away_name,
+  count(*) over (partition by league_name) as n_matches
+from ({BS.MATCHES_DAY_SQL}) m where strftime(kickoff_utc, '%H:%M') like '%00:0%'
+""")
+def q_matches_by_league(b):
+    """The leagues' lists, one row for each match in its place; found by time."""
+    day = Q.matches_on_local_day(b.v_fixtures, b.v_leagues, b.v_teams, BS.DAY, "UTC")
+    leagues = P.matches_by_league(day, "00:0")
+    return leagues.select("league_name", F.posexplode("matches").alias("pos", "m"), "n_matches").select(
+        "league_name", c("pos").cast("long").alias("pos"), "m.id", "m.home_name", "m.away_name", "n_matches")
+
+
 @bound_query("ticker", f"select * from ({BS.MATCHES_DAY_SQL}) m order by kickoff_utc, id limit 10")
 def q_ticker(b):
     day = Q.matches_on_local_day(b.v_fixtures, b.v_leagues, b.v_teams, BS.DAY, "UTC")

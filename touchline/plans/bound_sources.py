@@ -130,7 +130,35 @@ def q_latest_window(b):
     return SN.latest_window(b.sql(PLAYER_SNAPSHOTS), ["league_id", "season_year"], "summer")
 
 
+def _window_oracle(condition: str) -> str:
+    return f"""
+with f as (select * from ({_duck(PLAYER_SNAPSHOTS)}) x where {condition}),
+g as (select league_id, season_year, max(snapshot) as m from f group by 1, 2)
+select f.* from f join g using (league_id, season_year) where f.snapshot = g.m
+"""
+
+
+@bound_query("latest_snapshot_winter", _window_oracle("starts_with(snapshot, 'winter_')"))
+def q_latest_window_winter(b):
+    return SN.latest_window(b.sql(PLAYER_SNAPSHOTS), ["league_id", "season_year"], "winter")
+
+
+@bound_query("latest_snapshot_any", _window_oracle("true"))
+def q_latest_window_any(b):
+    return SN.latest_window(b.sql(PLAYER_SNAPSHOTS), ["league_id", "season_year"], "latest")
+
+
 # S04 -------------------------------------------------------------------------------
+@bound_query("latest_file_by_stamp", f"""
+with f as (select *, try_strptime(regexp_extract(file_path, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}_[0-9]{{2}}-[0-9]{{2}})\\.json$', 1), '%Y-%m-%d_%H-%M') as t
+           from ({_duck(STANDINGS_FILES)}) x)
+select league_id, season_year, file_path from (
+  select *, rank() over (partition by league_id, season_year order by t desc nulls last, file_path desc) as n from f) y where n = 1
+""")
+def q_latest_file_by_stamp(b):
+    return SN.latest_file(b.sql(STANDINGS_FILES), ["league_id", "season_year"], by_embedded_ts=True)
+
+
 @bound_query("latest_file_lexicographic", f"""
 with f as ({_duck(STANDINGS_FILES)}),
 g as (select league_id, season_year, max(file_path) as m from f group by 1, 2)

@@ -104,10 +104,10 @@ def _rows(target) -> DataFrame:
     return target.read() if isinstance(target, VersionedTable) else target
 
 
-def _log(errors: VersionedTable | None, rejects: DataFrame, as_of, run: str | None, dedupe: bool = False) -> DataFrame:
-    """The rejects go to the error log, if there is one."""
+def _log(errors: VersionedTable | None, job: str, rejects: DataFrame, as_of, run: str | None, dedupe: bool = False) -> DataFrame:
+    """The rejects go to the error log, if there is one; each job of a run logs once."""
     if errors is not None:
-        errors.append(K.append_errors(errors.read() if dedupe else None, rejects, as_of, dedupe), as_of, run)
+        errors.append(K.append_errors(errors.read() if dedupe else None, rejects, as_of, dedupe), as_of, run and f"{run}/{job}")
     return rejects
 
 
@@ -132,7 +132,7 @@ def run_fixtures(spark: SparkSession, root: str, fixtures, teams: DataFrame, ven
     docs = stage(_docs(spark, chosen, SC.FIXTURES, on_bad="error_row"), _path(spark, staging_path, "docs_fixtures"))
     stg = stage(last_file_wins(FL.flatten_fixtures(docs)), _path(spark, staging_path, "stg_fixtures"))
     v = V.check_fixtures(stg, teams, stage_sides=True)
-    _log(errors, v.rejects, as_of, run, dedupe=True)
+    _log(errors, "fixtures", v.rejects, as_of, run, dedupe=True)
     new_venues = M.placeholders(v.flagged.where("is_valid"), venues, "venue_id", M.VENUE_PLACEHOLDER)
     res = _apply(fixtures, v.flagged.where("is_valid"), ["fixture_id"],
                  lambda target: M.merge_fixtures(target, v.flagged, venues, as_of)[0], as_of, run)
@@ -152,7 +152,7 @@ def run_standings(spark: SparkSession, root: str, standings, fixtures: DataFrame
     chosen = SN.latest_file(files, SEASON)
     stg = stage(FL.flatten_standings(_docs(spark, chosen, SC.STANDINGS)), _path(spark, staging_path, "stg_standings"))
     v = V.check_standings(stg, teams, order=[c("stg_order")], stage_sides=True)
-    _log(errors, v.rejects, as_of, run)
+    _log(errors, "standings", v.rejects, as_of, run)
     counts = []
 
     def merge(target):
@@ -181,7 +181,7 @@ def run_match_events(spark: SparkSession, root: str, events, fixtures: DataFrame
     chosen = SN.latest_run(files, [*SEASON, "mode"], SN.RUN_STAMP_EVENTS, "yyyyMMdd_HHmmss", 2)
     stg = stage(FL.flatten_events(_docs(spark, chosen, SC.EVENTS)), _path(spark, staging_path, "stg_match_events"))
     v = V.check_match_events(stg, fixtures, teams, order=[c("stg_order")], id_col=c("stg_order").cast("string"))
-    _log(errors, v.rejects, as_of, run)
+    _log(errors, "match_events", v.rejects, as_of, run)
     valid = M.event_keys(v.flagged.where("is_valid"))
     new_players = M.placeholders(valid.select("player_id").unionByName(valid.select(c("assist_player_id").alias("player_id"))),
                                  players, "player_id", M.PLAYER_PLACEHOLDER)
@@ -208,7 +208,7 @@ def run_match_statistics(spark: SparkSession, root: str, stats, fixtures: DataFr
     flagged = (v.flagged.withColumn("is_valid", c("is_valid") & c("__pv"))
                .withColumn("error_reason", F.coalesce(c("__pr"), c("error_reason"))).drop("__pv", "__pr"))
     key = F.concat_ws("-", F.coalesce(c("fixture_id"), F.lit(-1)), F.coalesce(c("team_id"), F.lit(-1)))
-    rejects = _log(errors, V.rejects(flagged, "stg_match_statistics", key), as_of, run)
+    rejects = _log(errors, "match_statistics", V.rejects(flagged, "stg_match_statistics", key), as_of, run)
     season = fixtures.select("fixture_id", *SEASON)
     touched = flagged.where("is_valid and team_id is not null").select("fixture_id", "team_id").join(season, "fixture_id")
     res = _apply(stats, touched, ["fixture_id", "team_id"], lambda target: M.merge_match_statistics(target, flagged, fixtures, as_of), as_of, run)
@@ -229,7 +229,7 @@ def run_teams_venues(spark: SparkSession, root: str, teams, venues, bridge, ledg
     venues_res = _apply(venues, stg_venues.where("is_valid"), ["venue_id"], lambda t: M.merge_venues(t, stg_venues, as_of), as_of, run)
     now = _rows(venues) if isinstance(venues, VersionedTable) else venues_res.new_target
     vt = V.check_teams(FL.flatten_teams(docs).withColumn("name", c("team_name")), now)
-    _log(errors, vv.rejects.unionByName(vt.rejects), as_of, run)
+    _log(errors, "teams_venues", vv.rejects.unionByName(vt.rejects), as_of, run)
     teams_res = _apply(teams, vt.flagged.where("is_valid"), ["team_id"], lambda t: M.merge_teams(t, vt.flagged, as_of), as_of, run)
     pairs = FL.team_bridge(vt.flagged.where(c("is_valid")))
     bridge_res = _apply(bridge, pairs, ["team_id", *SEASON], lambda t: M.merge_team_bridge(t, pairs, as_of), as_of, run)
@@ -263,7 +263,7 @@ def run_players(spark: SparkSession, files: DataFrame, players, window: str, as_
     docs = stage(_docs(spark, chosen, SC.PLAYER_DOC, on_bad="error_row"), _path(spark, "auto", "docs_players"))
     stg = FL.flatten_players(docs.where("is_valid"))
     v = V.check_players(stg, str(as_of)[:10], stg_id="stg_order", since=since)
-    _log(errors, v.rejects, as_of, run)
+    _log(errors, "players", v.rejects, as_of, run)
     cols = ["firstname", "lastname", "full_name", "birth_date", "height", "weight"]
     cols += [x for x in ("birth_country", "nationality", "photo_url") if x in _rows(players).columns]
     # the last staging row of a player wins
@@ -286,7 +286,7 @@ def run_player_season_stats(spark: SparkSession, files: DataFrame, pss, window:
     chosen = SN.latest_window(files, SEASON, window)
     stg = stage(FL.flatten_player_stats(_docs(spark, chosen, SC.PLAYER_DOC)), _path(spark, "auto", "stg_player_season_stats"))
     v = V.check_player_season_stats(stg.withColumn("stg_stats_id", c("stg_order").cast("string")))
-    _log(errors, v.rejects, as_of, run)
+    _log(errors, "player_season_stats", v.rejects, as_of, run)
     res = _apply(pss, v.flagged.where("is_valid"), M.PSS_KEY,
                  lambda t: M.merge_player_season_stats(t, v.flagged, as_of, order=[c("stg_order")]), as_of, run)
     return {"staging": v.flagged, "rejects": v.rejects, "player_season_stats": res.merged, "summary": res.summary}
@@ -330,7 +330,7 @@ def run_news(spark: SparkSession, root: str, news, as_of, tab_order=("transfers"
                      "file_path")
     stg = stage(FL.flatten_news(docs), _path(spark, "auto", "stg_news"))
     v = V.check_news(stg)
-    _log(errors, v.rejects, as_of, run)
+    _log(errors, "news", v.rejects, as_of, run)
     cols = [x for x in _rows(news).columns if x not in ("article_id", "load_date", "upd_date")]
     rows = v.flagged.select("article_id", "tab", *[x for x in cols if x != "tab"], "is_valid")
     res = _apply(news, rows.where("is_valid"), ["article_id"], lambda t: M.merge_news(t, rows, as_of, list(tab_order)), as_of, run)
