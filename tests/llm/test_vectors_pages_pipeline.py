@@ -18,17 +18,23 @@ def _brute(vectors, k):
     return out
 
 
+def _brute_rows(rows, k):
+    """Every row a query or candidate of its own; rows: (id, integers)."""
+    out = []
+    for n, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v)), i) for m, (i, v) in enumerate(rows) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
 def test_top_k_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8], "x") for i in range(330)]
     rows += [(400, None, "x"), (500, [1.0, None], "x"), (600, [float("nan")], "x"), (700, [float("inf")], "x"), (None, [1.0], "x"), rows[3], (5, [9.0] * 6, "x"), (800, [], "x")]
     got = maxscore.search_divisible(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"))
-    vectors = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(1024 * x)) for x in v]
-            vectors[i] = min(vectors.get(i, q), q)
-    assert sorted(map(tuple, got.collect())) == _brute(vectors, 10)
+    fine = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    assert sorted(map(tuple, got.collect())) == _brute_rows(fine, 10)
     assert maxscore.search_divisible(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -40,6 +46,22 @@ def test_top_k_in_blocks_and_shards(spark, monkeypatch):
     assert sorted(map(tuple, maxscore.search_divisible(table).collect())) == _brute(vectors, 10)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [9.0, 0.0]), (6, [2.0, 0.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (100, [0.5, 0.0])]
+    rows += [(7, [3.0, 3.0])] * 30 + [(200 + i, [i / 64, -i / 64]) for i in range(1, 60)]
+    fine = [(i, [int(1024 * x) if x >= 0 else int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, maxscore.search_divisible(table).collect())) == _brute_rows(fine, 10)
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)           # floors of the first shard meet the others
+    assert sorted(map(tuple, maxscore.search_divisible(table).collect())) == _brute_rows(fine, 10)
+
+
+def test_huge_components_have_a_result(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0])]
+    got = maxscore.search_divisible(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -2**63)]
+
+
 def test_large_components_stay_exact():
     q, v = [2**40, -(2**40)], {1: [2**40, 1], 2: [2**40 - 1, 0], 3: [1, -(2**40)], 4: [2**40, 1]}
     want = sorted((-sum(a * b for a, b in zip(q, x)), i) for i, x in v.items())

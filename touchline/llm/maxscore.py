@@ -14,33 +14,39 @@ of bounded size, so a task holds ``BLOCK_QUERIES`` queries and ``SHARD_ROWS``
 vectors at most, whatever the tables' sizes. Arithmetic is exact: float64 while
 all sums are below 2**53, else Python integers.
 
+The first shard runs alone: its k-th best scores are floors below which no other
+shard need look. Rows equal in id and vector are one row with a number of copies.
+
 Defined cases: vectors that are null or hold a null or non-finite component
 take no part; missing components of shorter vectors count as 0; null ids take no
-part; of rows with the same id the one with the smallest vector counts, and a
-query never finds its own id; ties go to the smaller id; fewer candidates than k give
-fewer rows; further columns are passed over.
+part; rows of one id are rows of their own: each is a query, and a candidate for its
+equals (a query passes over its own row only); components and scores beyond a long are held to its range; ties go
+to the smaller id; fewer candidates than k give fewer rows; further columns are passed over.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.llm.common import cut
+
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 BLOCK = 1024
 K = 10
 PROBE = 8
+_LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id, v array<bigint>: floor(scale * x) of each component as double."""
+    """vec_id, v array<bigint>: floor(scale * x) of each component as double; copies: equal rows."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return (vectors.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & fine)
             .select("vec_id", F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .groupBy("vec_id", "v").agg(F.count("*").alias("copies")))
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -50,8 +56,12 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def search_shard(query_ids, queries, ids, vectors, k: int = K):
-    """Rows (query_id, vec_id, score): each query's best k of one shard, by MaxScore."""
+def search_shard(query_ids, queries, ids, vectors, k: int = K, own=None, floors=None):
+    """Rows (query_id, vec_id, score): each query's best k of one shard, by MaxScore.
+
+    ``own``: for each query the place of its own row, or -1 (default: all rows of its id); ``floors``: for each
+    query a score that k rows elsewhere reach, or None.
+    """
     width = max([0, *map(len, queries), *map(len, vectors)])
     q, v, ids = _matrix(queries, width), _matrix(vectors, width), np.asarray(ids)
     largest = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(1, width) * 4
@@ -61,7 +71,15 @@ def search_shard(query_ids, queries, ids, vectors, k: int = K):
     ids, v = ids[order], v[order]
     low, high = v.min(axis=0, initial=None) if len(v) else 0, v.max(axis=0, initial=None) if len(v) else 0
     out = []
-    for query_id, x in zip(query_ids, q):
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for n, (query_id, x) in enumerate(zip(query_ids, q)):
+        others = np.ones(len(ids), bool)
+        if own is None:
+            others[ids == query_id] = False
+        elif own[n] >= 0:
+            others[place[own[n]]] = False
+        floor_score = None if floors is None else floors[n]
         a, b = x * low, x * high
         floor, bound = np.minimum(a, b), np.abs(b - a)
         terms = np.argsort(-bound.astype(float), kind="stable")
@@ -69,9 +87,11 @@ def search_shard(query_ids, queries, ids, vectors, k: int = K):
         base = floor.sum()
         best_s, best_i = np.zeros(0, exact), np.zeros(0, np.int64)
         for start in range(0, len(ids), BLOCK):
-            rows = np.flatnonzero(ids[start:start + BLOCK] != query_id) + start
-            full = len(best_s) == k
-            least = best_s[-1] if full else None
+            rows = np.flatnonzero(others[start:start + BLOCK]) + start
+            least = best_s[-1] if len(best_s) == k else None
+            if floor_score is not None:
+                least = floor_score if least is None else max(least, floor_score)
+            full = least is not None
             # essential: up to the first term from which on all bounds together cannot reach the k-th score
             essential = int(np.argmax(base + suffix < least)) if full and base < least else len(terms)
             essential = min(len(terms), max(essential, 1))
@@ -96,24 +116,45 @@ def search_shard(query_ids, queries, ids, vectors, k: int = K):
     return out
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
-    """queries, vectors: vec_id, v. Returns query_id, rank, vec_id, score."""
-    rows, asked = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-rows // SHARD_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
-    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = queries.withColumn("block", part(blocks, 1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = vectors.withColumn("shard", part(shards, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
+def _grid(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """query (row), vec_id, score: the shards' best k; left: row, v, least, block, shard; right: row, copy, vec_id, v, block, shard."""
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = search_shard(a.vec_id.tolist(), a.v.tolist(), b.vec_id.to_numpy(), b.v.tolist(), k) if len(a) and len(b) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = []
+        if len(a) and len(b):
+            firsts = {row: i for i, (row, copy) in enumerate(zip(b["row"], b["copy"])) if copy == 0}
+            floors = [None if pd.isna(x) else int(x) for x in a.least]
+            found = search_shard(a["row"].tolist(), a.v.tolist(), b.vec_id.to_numpy(), b.v.tolist(), k, [firsts.get(r, -1) for r in a["row"]], floors)
+        return pd.DataFrame([(q, i, max(-_LONG - 1, min(_LONG, s))) for q, i, s in found], columns=["query", "vec_id", "score"])
+
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "query long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(rows: DataFrame, asked: Column, k: int = K) -> DataFrame:
+    """rows: vec_id, v, copies. Returns query_id, rank, vec_id, score for the rows that ``asked`` holds for."""
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "copies"))
+    queries = cut(rows.where(asked).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "copies"))
+    shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    part = lambda n, name, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(n)).cast("int")
+    # more than k + 1 copies of a row change no query's best k
+    right = (rows.select("row", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.least("copies", F.lit(k + 1)).cast("int") - 1)).alias("copy"))
+             .withColumn("shard", part(shards, "row", 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    left = queries.select(F.col("query").alias("row"), F.col("q").alias("v"), part(blocks, "query", 1).alias("block"))
+    first = cut(_best(_grid(left.withColumns({"least": F.lit(None).cast("long"), "shard": F.lit(0)}), right.where("shard = 0"), k), k))
+    found = first
+    if shards > 1:
+        # a score held to a long's end is no floor
+        floors = first.where((F.col("rank") == k) & (F.abs(F.col("score").cast("double")) < 9e18)).select(F.col("query").alias("row"), F.col("score").alias("least"))
+        seeded = left.join(floors, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        found = _best(first.drop("rank").unionByName(_grid(seeded, right.where("shard > 0"), k)), k)
+    return (found.join(queries.select("query", "query_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")), "query")
+            .select("query_id", "rank", "vec_id", "score"))
 
 
 def search_divisible(vectors: DataFrame, divisor: int = 100, k: int = K) -> DataFrame:
     """Queries are the rows whose id is divisible by ``divisor``; every other row is a candidate."""
-    q = quantised(vectors)
-    return top_k(q.where(F.col("vec_id") % divisor == 0), q, k)
+    return top_k(quantised(vectors), F.col("vec_id") % divisor == 0, k)
