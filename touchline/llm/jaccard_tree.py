@@ -343,12 +343,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     heads = rows.groupBy("component").agg(F.min(rank).alias("head"))
     marked = cut(rows.join(heads, "component").select("doc_id", "text_hash", (rank == F.col("head")).alias("stays")))
     names = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    # the row travels as one column, so its own columns may have any names
+    carried = docs.select(F.struct("*").alias("_row"))
+    key = F.xxhash64(F.coalesce("_row.text", F.lit("")))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_hash"))
     gone = cut(names(marked.where("not stays")).distinct())
     twice = cut(names(marked.where("stays")).groupBy("_id", "_hash").count().where("count > 1").drop("count"))
-    kept = docs.join(bounded_broadcast(gone, MAX_BROADCAST), same, "left_anti")
-    if twice.isEmpty():
-        return kept
-    repeated = docs.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_semi")
-    once = repeated.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_anti").union(once)
+    kept = carried.join(bounded_broadcast(gone, MAX_BROADCAST), same, "left_anti")
+    if not twice.isEmpty():
+        repeated = carried.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_semi")
+        once = repeated.withColumns({"_id": F.col("_row.doc_id"), "_key": key}).dropDuplicates(["_id", "_key"]).select("_row")
+        kept = kept.join(bounded_broadcast(twice, MAX_BROADCAST), same, "left_anti").union(once)
+    return kept.select("_row.*")
