@@ -90,12 +90,15 @@ def budgets(leaves: DataFrame, budget: int | None = None, epochs: int = EPOCHS,
     return found.select(*LEVELS, "tokens", "budget")
 
 
-def mix(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS, domain: Column | None = None) -> DataFrame:
-    """row (struct of all columns of ``docs``), domain, lang, source, tokens, epoch, take_tokens:
-    one row each time that a document is taken."""
-    rows = (docs.withColumn("_row", F.struct("*")).withColumn("_domain", domain if domain is not None else domain_of())
-            .select(F.col("_row").alias("row"), F.col("_domain").alias("domain"), F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"),
-                    F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")).where("tokens > 0"))
+def mix(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS, domain: Column | None = None,
+        columns: list[str] | None = None) -> DataFrame:
+    """row (struct of all columns of ``docs``, or of doc_id and ``columns``), domain, lang, source, tokens, epoch,
+    take_tokens: one row each time that a document is taken. Tokens are counted once, into a stored table that all
+    further steps read."""
+    kept = F.col("_row") if columns is None else F.struct(*dict.fromkeys(["doc_id", *columns]))
+    rows = cut(docs.withColumn("_row", F.struct("*")).withColumn("_kept", kept).withColumn("_domain", domain if domain is not None else domain_of())
+               .select(F.col("_kept").alias("row"), F.col("_domain").alias("domain"), F.col("_row.lang").alias("lang"), F.col("_row.source").alias("source"),
+                       F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"), F.xxhash64("_row.text").alias("_tie"))).where("tokens > 0")
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     largest = leaves.agg(F.max("n")).first()[0] or 1
     digits = max(1, min(8, -(-((largest // BUCKET_ROWS).bit_length()) // 4)))
@@ -116,7 +119,7 @@ def mix(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed:
     times = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("_bucket") < F.col("end_bucket")), 1).otherwise(0)
     plain = (located.withColumn("_times", times.cast("int")).where("_times > 0")
              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).withColumn("take_tokens", F.col("tokens")))
-    inner = Window.partitionBy(*LEVELS).orderBy("_order", "row.doc_id", "tokens", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*LEVELS).orderBy("_order", "row.doc_id", "tokens", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     partial = (located.where("rest > 0 and _bucket = end_bucket")
            .withColumn("_start", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
            .where("_start < rest").withColumn("epoch", F.col("whole").cast("int"))
@@ -125,7 +128,7 @@ def mix(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed:
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("row.doc_id", *LEVELS, "tokens", "epoch", "take_tokens")
+    return mix(docs, columns=[]).select("row.doc_id", *LEVELS, "tokens", "epoch", "take_tokens")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
