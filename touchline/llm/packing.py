@@ -39,6 +39,7 @@ GROUP_TOKENS = 1 << 22
 LINEAR = 6.0
 TOKENIZER = "word_bpe_49k.json"
 _WORDS_KEPT = 1_000_000
+_WORDS_A_CALL = 8192       # bounds the tokenizer's own objects
 
 
 # A run of these after an ASCII letter or digit is always a token sequence of its own.
@@ -71,13 +72,17 @@ class WordTokenizer:
         return self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        """``hashes`` come sorted."""
+        sizes, flats = [], [self.flat]
+        for at in range(0, len(words), _WORDS_A_CALL):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at:at + _WORDS_A_CALL], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate(flats)
         hashes, begin, size = (np.concatenate(x) for x in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
-        order = np.argsort(hashes)
+        order = np.argsort(hashes, kind="stable")        # two sorted runs: a merge
         self.hashes, self.begin, self.size = hashes[order], begin[order], size[order]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -170,13 +175,28 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return pieces
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids (stored form), doc_tokens, sequence_id, offset."""
+def crc_of(ids: bytes) -> int:
+    return zlib.crc32(unpacked(ids).tobytes())
+
+
+def array_of(ids: bytes) -> np.ndarray:
+    return unpacked(ids).astype(np.int32)
+
+
+#: What becomes of a piece's ids: column, its SQL and Arrow types, and the function of their stored form.
+STORED = ("ids", "binary", pa.binary(), lambda ids: ids)
+DIGEST = ("ids_crc32", "long", pa.int64(), crc_of)
+ARRAY = ("ids", "array<int>", pa.list_(pa.int32()), array_of)
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, form: tuple = STORED) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids (in ``form``), doc_tokens, sequence_id, offset."""
     stored = cut(tokenised(docs, path))
     total = stored.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
     # the stored table's row number tells equal rows apart: a hot id or text is dealt out like any other
     dealt = stored.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    column, sql, kind, made = form
 
     def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.lexsort((np.array(table["n"]), np.array(table["doc_id"].fill_null(-1))))
@@ -184,28 +204,19 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
         lengths, all_ids = table["n"].to_pylist(), table["ids"].to_pylist()
         got = assign(lengths, capacity)
         d, start, length, seq, offset = (list(x) for x in zip(*got))
-        return pa.table({"doc_id": table["doc_id"].take(pa.array(d)), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
-                         "ids": pa.array([all_ids[i][3 * s:3 * (s + n)] for i, s, n in zip(d, start, length)], pa.binary()),
+        ids = pa.array((made(all_ids[i][3 * s:3 * (s + n)]) for i, s, n in zip(d, start, length)), kind, size=len(d))
+        return pa.table({"doc_id": table["doc_id"].take(pa.array(d)), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), column: ids,
                          "doc_tokens": pa.array([lengths[i] for i in d], pa.int64()),
                          "sequence_id": pa.array([(key[0].as_py() << 24) + s for s in seq], pa.int64()), "offset": pa.array(offset, pa.int64())})
 
-    return dealt.groupBy("group").applyInArrow(place, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(place, f"doc_id long, start long, length long, {column} {sql}, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_digest(docs: DataFrame) -> DataFrame:
     """``pack`` with the crc32 of each piece's ids in place of the ids."""
-    def digest(batch):
-        crc = [zlib.crc32(unpacked(x).tobytes()) for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids" else pa.array(crc, pa.int64()) for c in batch.schema.names],
-                                         names=[c if c != "ids" else "ids_crc32" for c in batch.schema.names])
-
-    return map_arrow(pack(docs), digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pack(docs, form=DIGEST)
 
 
 def packed_sequences(docs: DataFrame) -> DataFrame:
     """``pack`` with the ids as an array of integers."""
-    def arrays(batch):
-        ids = pa.array([unpacked(x).astype(np.int32) for x in batch.column("ids").to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids" else ids for c in batch.schema.names], names=batch.schema.names)
-
-    return map_arrow(pack(docs), arrays, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
+    return pack(docs, form=ARRAY)
