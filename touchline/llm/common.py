@@ -4,23 +4,45 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.session import ensure_checkpoint_dir
 
 
+#: Spark's own switch for dropping a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's ``key`` is ``value`` within the block, and what it was after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the session's shared checkpoint folder.
 
     Reliable ``checkpoint()`` only: a lost executor re-reads the files, and
-    Spark's cleaner drops them once nothing refers to the table.
+    Spark's cleaner drops them once nothing refers to the table. Nothing reads the
+    shuffles behind the table again, so their files go as soon as it is written, not when the
+    driver happens to collect its garbage.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with setting(df.sparkSession, SHUFFLE_CLEANUP, "true"):
+        return df.select("*").checkpoint(eager=True)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
