@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.session import ensure_checkpoint_dir
+from touchline.functions.joins import stored
 
 _ROW_BITS = 33      # monotonically_increasing_id keeps a row's place in its partition in the low 33 bits
 
@@ -20,9 +20,8 @@ def numbered(df: DataFrame, order: Sequence, name: str, start: int = 1) -> DataF
     partition's numbers begin after the rows counted in those before it. Only
     one count for each partition reaches the driver.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True))
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", _ROW_BITS)
     before, total = [], start
     for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect()):

@@ -68,12 +68,12 @@ def _audit_sql(body: str) -> str:
     return f"select *, timestamp '{OLD}' as load_date, timestamp '{OLD}' as upd_date from ({body}) x"
 
 
-def _target(b, sql: str):
+def _target(b, sql: str, source=None):
     """The prior version of a production table (a stored table in the
     application), derived from the bindings and stored once per run."""
     import hashlib
     name = "target_" + hashlib.sha1(sql.encode()).hexdigest()[:12]
-    return b.stored(name, lambda: M.with_audit(b.sql(sql), OLD))
+    return b.stored(name, lambda: M.with_audit(b.sql(sql), OLD), source)
 
 
 # M07a — flagship ---------------------------------------------------------------
@@ -283,10 +283,10 @@ _EV_MERGE_ORACLE = upsert_oracle(
 
 
 def _merge_events(b):
-    flagged = V.check_match_events(b.v_stg_events.withColumn("comments", F.lit(None).cast("string")),
+    valid = V.check_match_events(b.v_stg_events.withColumn("comments", F.lit(None).cast("string")),
                                    b.v_fixtures, b.v_teams,
-                                   order=[c("ord1"), c("ord2"), c("ord3"), c("ord4")]).flagged
-    return M.merge_match_events(_target(b, EVENTS_TARGET), flagged, b.v_players, AS_OF,
+                                   order=[c("ord1"), c("ord2"), c("ord3"), c("ord4")]).valid
+    return M.merge_match_events(_target(b, EVENTS_TARGET, b.v_stg_events), valid, b.v_players, AS_OF,
                                 order=[c("ord1"), c("ord2"), c("ord3"), c("ord4")])
 
 
