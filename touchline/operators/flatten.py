@@ -165,10 +165,12 @@ def flatten_player_stats(docs: DataFrame, strict_league: bool = True) -> DataFra
     column) unless non-strict; all four ids required non-zero; integers via
     float ('6.700000' -> 6), blanks -> NULL; the API spells 'appearences'."""
     p = c("doc.response")[0]
-    b = docs.select("file_path", "league_id", "season_year", p["player"]["id"].alias("player_id"),
-                    F.posexplode(p["statistics"]).alias("pos", "s"))
+    blocks = F.transform(p["statistics"], lambda s, pos: F.struct(pos.alias("pos"), s.alias("s")))
     if strict_league:
-        b = b.where(c("s.league.id") == c("league_id"))
+        blocks = F.filter(blocks, lambda x: x["s"]["league"]["id"] == c("league_id"))
+    # blocks of other leagues go before they are rows, and a row does not carry its document
+    b = docs.select("file_path", "league_id", "season_year", p["player"]["id"].alias("player_id"), blocks.alias("blocks"))
+    b = b.select("file_path", "league_id", "season_year", "player_id", F.inline("blocks"))
     i = S.to_int_lenient
     out = b.select(
         "player_id", c("s.team.id").alias("team_id"), c("s.league.id").alias("stat_league_id"),

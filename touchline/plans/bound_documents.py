@@ -31,9 +31,8 @@ def _documents(rows: DataFrame, item: Column, page: list[str], order: str, root=
 
 def _parsed(docs: DataFrame, schema, path: Column) -> DataFrame:
     """As ``read_snapshots`` gives them: file_path, doc, is_valid, error_reason and the scope columns."""
-    ok = F.try_parse_json("value").isNotNull()
-    return docs.withColumns({"file_path": path, "doc": F.when(ok, F.from_json("value", schema)), "is_valid": ok,
-                             "error_reason": F.lit(None).cast("string")}).drop("value")
+    parsed = SN.parse_once(docs, lambda v: F.try_parse_json(v).isNotNull(), schema)
+    return parsed.withColumns({"file_path": path, "error_reason": F.lit(None).cast("string")})
 
 
 def _page(x: str) -> Column:

@@ -12,7 +12,7 @@ detected and handled by policy.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -114,6 +114,17 @@ def read_tree(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return files.join(paths.select("file_path").distinct(), "file_path", "left_semi")
 
 
+def parse_once(raw: DataFrame, valid: Callable[[Column], Column], schema) -> DataFrame:
+    """``raw`` with ``is_valid`` and ``doc`` (NULL unless valid) in place of its JSON text ``value``.
+
+    Both come out of a generated row, because filters on projected columns are pushed below them with a
+    copy of their expression: each would make and parse the text again.
+    """
+    checked = F.transform(F.array("value"), lambda v: F.struct(v.alias("value"), valid(v).alias("ok")))
+    parsed = F.transform(checked, lambda x: F.struct(x["ok"].alias("is_valid"), F.when(x["ok"], F.from_json(x["value"], schema)).alias("doc")))
+    return raw.select(*[x for x in raw.columns if x != "value"], F.inline(parsed))
+
+
 def read_snapshots(spark: SparkSession, paths: DataFrame | Sequence[str], schema: StructType,
                    on_bad: str = "skip") -> DataFrame:
     """Parse whole-file JSON documents with ``schema``.
@@ -133,16 +144,13 @@ def read_snapshots(spark: SparkSession, paths: DataFrame | Sequence[str], schema
     by_spark = paths.where(foreign).limit(1).count() > 0
     content = read_tree(spark, paths) if by_spark else read_files(paths)
     raw = content.select("file_path", c("content").cast("string").alias("value"))
-    ok = F.coalesce(F.try_parse_json(c("value")).isNotNull() & (F.trim(c("value")) != ""), F.lit(False))
-    parsed = raw.select("file_path", ok.alias("__ok"),
-                        F.when(ok, F.from_json(c("value"), schema)).alias("doc"))
+    parsed = parse_once(raw, lambda v: F.coalesce(F.try_parse_json(v).isNotNull() & (F.trim(v) != ""), F.lit(False)), schema)
     reason = F.lit("exception: JSONDecodeError: malformed document")
     if on_bad == "skip":
-        return parsed.where(c("__ok")).select("file_path", "doc", F.lit(True).alias("is_valid"),
+        return parsed.where("is_valid").select("file_path", "doc", F.lit(True).alias("is_valid"),
                                               F.lit(None).cast("string").alias("error_reason"))
     if on_bad == "error_row":
-        return parsed.select("file_path", "doc", c("__ok").alias("is_valid"),
-                             F.when(~c("__ok"), reason).alias("error_reason"))
+        return parsed.select("file_path", "doc", "is_valid", F.when(~c("is_valid"), reason).alias("error_reason"))
     return parsed.select("file_path", "doc", F.lit(True).alias("is_valid"),
                          F.lit(None).cast("string").alias("error_reason"))
 
