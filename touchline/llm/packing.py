@@ -1,6 +1,6 @@
 """Packing: documents' token ids into sequences of at most ``CAPACITY`` tokens.
 
-Each document is tokenised once (a worker calls the tokenizer once for each distinct word it meets),
+Each document is tokenised once (a worker encodes each distinct word it meets once),
 with id ``END`` appended, and stored in the shared checkpoint folder. Documents are dealt
 by a hash to groups of about ``GROUP_TOKENS`` tokens; a group fits one task
 whatever the corpus, and loses less than one sequence to padding.
@@ -21,6 +21,7 @@ into pieces; an empty table gives no rows; further columns are passed over.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -48,6 +49,16 @@ _TAIL[list(b".,;:!?*#%&$+=~^@/)]}")] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 
+# Words of these letters alone pass normalizer and pre-tokenizer as they are, so the model takes them directly.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
 class WordTokenizer:
     """Token ids of whole texts from one encoding of each distinct word.
@@ -61,6 +72,7 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # one thread for each Spark core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.symbols = self.tokenizer.model, _byte_symbols()
         self._forget()
 
     def _forget(self) -> None:
@@ -71,11 +83,19 @@ class WordTokenizer:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         return self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word: plain ones by the model alone, the others by the whole tokenizer."""
+        plain = [_LETTERS.fullmatch(w) is not None for w in words]
+        others = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
+        tokenize, symbols = self.model.tokenize, self.symbols
+        return [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(symbols))] if p else next(others).ids
+                for w, p in zip(words, plain)]
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """``hashes`` come sorted."""
         sizes, flats = [], [self.flat]
         for at in range(0, len(words), _WORDS_A_CALL):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at:at + _WORDS_A_CALL], add_special_tokens=False)]
+            ids = self._encoded(words[at:at + _WORDS_A_CALL])
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
         size = np.concatenate(sizes)
